@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, simhash, toxicity
+from . import byte_bpe, decontaminate, pii, simhash, toxicity
 from .shared import table
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_digests(table(spark, sf_dir, "documents"))
 
@@ -27,7 +31,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_byte_bpe, op5_decontaminate, op8_simhash, op9_toxicity)}
+    return {f.__name__: f for f in (op2_pii, op3_byte_bpe, op5_decontaminate, op8_simhash, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
