@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, pii, simhash, toxicity
+from . import byte_bpe, decontaminate, pii, secrets, simhash, toxicity
 from .shared import table
 
 
@@ -22,6 +22,10 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -31,7 +35,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_pii, op3_byte_bpe, op5_decontaminate, op8_simhash, op9_toxicity)}
+    return {f.__name__: f for f in (op2_pii, op3_byte_bpe, op5_decontaminate, op7_secrets, op8_simhash, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
