@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, pii, secrets, simhash, toxicity
+from . import byte_bpe, decontaminate, pii, quality, secrets, simhash, toxicity
 from .shared import table
 
 
@@ -18,6 +18,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_digests(table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -35,7 +39,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_pii, op3_byte_bpe, op5_decontaminate, op7_secrets, op8_simhash, op9_toxicity)}
+    return {f.__name__: f for f in (op2_pii, op3_byte_bpe, op4_quality, op5_decontaminate, op7_secrets, op8_simhash, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
