@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, pii, quality, secrets, simhash, toxicity
+from . import byte_bpe, decontaminate, links, pii, quality, secrets, sharding, simhash, toxicity
 from .shared import table
 
 
@@ -26,6 +26,10 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find(table(spark, sf_dir, "documents"))
 
@@ -38,8 +42,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return links.verdicts(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_pii, op3_byte_bpe, op4_quality, op5_decontaminate, op7_secrets, op8_simhash, op9_toxicity)}
+    return {f.__name__: f for f in (op2_pii, op3_byte_bpe, op4_quality, op5_decontaminate, op6_sharding, op7_secrets, op8_simhash, op9_toxicity, op10_links)}
 
 
 def oracle_sql() -> dict[str, str]:
