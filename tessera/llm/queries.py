@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, links, pii, quality, secrets, sharding, simhash, toxicity
+from . import byte_bpe, decontaminate, links, oracles, pii, quality, secrets, sharding, simhash, substrings, toxicity
 from .shared import table
 
 
+def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digests(table(spark, sf_dir, "documents"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
@@ -47,8 +51,8 @@ def op10_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_pii, op3_byte_bpe, op4_quality, op5_decontaminate, op6_sharding, op7_secrets, op8_simhash, op9_toxicity, op10_links)}
+    return {f.__name__: f for f in (op1_substrings, op2_pii, op3_byte_bpe, op4_quality, op5_decontaminate, op6_sharding, op7_secrets, op8_simhash, op9_toxicity, op10_links)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)

@@ -1,0 +1,83 @@
+"""Substring dedup: against a dictionary of windows; the FM-index against plain counting."""
+
+import hashlib
+import random
+from collections import Counter
+
+import numpy as np
+import pytest
+from test_pii import DOCS
+
+from tessera.llm import substrings
+
+
+def expected(texts):
+    words = [(t or "").encode().split() for t in texts]
+    seen = Counter(tuple(w[i : i + 35]) for w in words for i in range(len(w) - 34))
+    out = []
+    for w in words:
+        lost = {i + k for i in range(len(w) - 34) if seen[tuple(w[i : i + 35])] > 1 for k in range(35)}
+        kept = [x for i, x in enumerate(w) if i not in lost]
+        out.append((len(w), len(lost), hashlib.sha256(b" ".join(kept)).hexdigest()))
+    return out
+
+
+def corpus(seed, n=250):
+    r = random.Random(seed)
+    word = lambda: r.choice(["the", "of", "é", "日本", *(f"w{i}" for i in range(60))])
+    text = lambda k: [word() for _ in range(k)]
+    passages = [text(r.randrange(30, 120)) for _ in range(6)]
+    docs = []
+    for _ in range(n):
+        d = text(r.randrange(0, 150))
+        for _ in range(r.randrange(3)):
+            p = list(r.choice(passages))
+            if r.random() < 0.5:
+                p[r.randrange(len(p))] = "edit"
+            at = r.randrange(len(d) + 1)
+            d[at:at] = p
+        docs.append(r.choice([" ", "\n", "  "]).join(d))
+    docs += [docs[3]] * 5 + [None, "", " ", "a " * 34, "b " * 35, "c " * 36, "x y " * 100, "one two three four five six seven " * 30]
+    return docs
+
+
+@pytest.mark.parametrize("hot", [200, 3])
+def test_matches_brute_force(spark, monkeypatch, hot):
+    texts = corpus(1)
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], DOCS)
+    own = substrings.repeated
+    monkeypatch.setattr(substrings, "repeated", lambda d: own(d, hot))
+    out = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.digests(docs).collect()}
+    assert [out[i] for i in range(len(texts))] == expected(texts)
+
+
+def test_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = docs.orderBy("doc_id").collect()
+    out = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.digests(docs).collect()}
+    assert [out[r.doc_id] for r in rows] == expected([r.text for r in rows])
+
+
+def test_fm_index_counts(seed=2):
+    r = np.random.default_rng(seed)
+    text = r.integers(0, 5, 3000)
+    text[-1] = 0
+    index = substrings.FMIndex(text)
+    for _ in range(300):
+        at, k = int(r.integers(0, 2900)), int(r.integers(1, 40))
+        pattern = text[at : at + k]
+        if (pattern == 0).any():
+            continue
+        low, high = np.array([0]), np.array([len(text)])
+        for c in pattern[::-1]:
+            low, high = index.extend(np.array([c]), low, high)
+        want = sum((text[i : i + k] == pattern).all() for i in range(len(text) - k + 1))
+        assert high[0] - low[0] == want
+
+
+def test_repeated_rows_and_odd_tables(spark):
+    assert substrings.digests(spark.createDataFrame([], DOCS)).count() == 0
+    t = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, t, "en", "s", 0), (1, t, "en", "s", 0), (None, t + " x", None, None, None), (None, None, None, None, None)], DOCS)
+    out = substrings.deduplicated(docs.withColumnsRenamed({"lang": "id", "source": "tag"})).collect()
+    assert sorted((r.n_words, r.n_removed, r.text) for r in out) == [(0, 0, ""), (40, 40, ""), (40, 40, ""), (41, 40, "x")]
