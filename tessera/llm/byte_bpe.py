@@ -225,23 +225,24 @@ def decode(ids: Column, path: str, pattern: str) -> Column:
     return run(ids)
 
 
-def digests(text: Column, path: str, pattern: str) -> Column:
-    """Column: number of ids, and digests of the ids and of their decoding, in one pass."""
+def digests(text: Column, path: str, pattern: str, with_ids: bool = False) -> Column:
+    """Column: number of ids, digests of the ids and of their decoding, and the ids if asked, in one pass."""
 
-    @F.pandas_udf(RESULT)
+    @F.pandas_udf(RESULT + ", ids array<int>" * with_ids)
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = codec(path, pattern)
         for part in parts:
             rows = []
             for t in part:
                 ids = own.encode(t or "")
-                rows.append((len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(own.decode(ids)).hexdigest()))
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+                row = (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(own.decode(ids)).hexdigest())
+                rows.append((*row, np.array(ids, np.int32)) if with_ids else row)
+            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 3 + with_ids])
 
     return run(text)
 
 
-def encode_digests(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """``doc_id`` and the digests of every text, without a shuffle."""
+def encode_digests(docs: DataFrame, path: str | None = None, pattern: str | None = None, with_ids: bool = False) -> DataFrame:
+    """``doc_id`` and the digests (and ids) of every text, without a shuffle."""
     default = default_vocabulary()
-    return docs.select(docs["doc_id"], digests(docs["text"], path or default[0], pattern or default[1]).alias("out")).select("doc_id", "out.*")
+    return docs.select(docs["doc_id"], digests(docs["text"], path or default[0], pattern or default[1], with_ids).alias("out")).select("doc_id", "out.*")

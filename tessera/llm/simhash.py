@@ -240,14 +240,30 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
 
 
-def link(prints: DataFrame) -> DataFrame:
-    """``component_id`` for every row (doc_id, fp) of ``prints``, which should be cheap to read twice."""
+def named(prints: DataFrame) -> DataFrame:
+    """(own, root, component_id) of every distinct ``fp`` of ``prints`` (doc_id, fp)."""
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(star_edges(distinct.select("fp")))
-    named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(ids, "root").select(F.col("fp").alias("own"), "component_id")
-    return prints.join(named, prints["fp"] == named["own"]).drop("own")
+    known = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    ids = known.groupBy("root").agg(F.min("least").alias("component_id"))
+    return known.join(ids, "root").select(F.col("fp").alias("own"), "root", "component_id")
+
+
+def link(prints: DataFrame) -> DataFrame:
+    """``prints`` (doc_id, fp, ...), cheap to read twice, with the ``root`` fingerprint and ``component_id`` of each row."""
+    groups = named(prints)
+    return prints.join(groups, prints["fp"] == groups["own"]).drop("own")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The documents, all columns, that stay when each group keeps its row of the least doc_id."""
+    columns = docs.columns
+    rows = cut(docs.select(F.struct(*[docs[c] for c in columns]).alias("doc"), docs["doc_id"].cast("long").alias("doc_id"), fingerprint(docs["text"]).alias("fp"), F.monotonically_increasing_id().alias("row")))
+    linked = cut(link(rows.select("doc_id", "fp", "row")).select("root", "row", "doc_id"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "row"))["row"]
+    stay = linked.groupBy("root").agg(first.alias("stay"))
+    gone = linked.join(stay, "root").where("row <> stay").select("row")
+    return rows.join(gone, "row", "left_anti").select(*[F.col("doc")[c].alias(c) for c in columns])
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
