@@ -5,7 +5,8 @@ Seeds are the 3-word grams of the test items that at most ``RARE`` items share
 letter and digit runs. By the q-gram lemma a passage within e word edits of
 an item keeps all but 3e of its seeds, so a passage that matches 0.8 of an item
 has at least ``seeds - 3 * floor(0.2 * words)`` of them near one diagonal; only
-such stretches are aligned (match 2, mismatch and gap -1). Similarity is the
+such stretches are aligned (match 4, mismatch and gap -1, so that matches beyond a few
+edits still count). Similarity is the
 share of the item's words that the best alignment matches; ``SIMILARITY`` and
 more counts as a leak. Shorter grams than the usual five words keep
 candidates complete at that similarity; they only choose what is aligned.
@@ -34,6 +35,7 @@ from pyspark.sql import functions as F
 GRAM = 3
 RARE = 8
 SIMILARITY = 0.8
+MATCH = 4
 LEAST_WORDS = 5
 BLOCK_BYTES = 8 << 20
 
@@ -52,13 +54,13 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
     offset = np.arange(m + 1)
     for i in range(1, n + 1):
         row = np.maximum(score[i - 1] - 1, 0)
-        row[1:] = np.maximum(row[1:], score[i - 1, :-1] + np.where(passage == item[i - 1], 2, -1))
+        row[1:] = np.maximum(row[1:], score[i - 1, :-1] + np.where(passage == item[i - 1], MATCH, -1))
         score[i] = np.maximum(np.maximum.accumulate(row + offset) - offset, 0)  # gaps in the item
     i, j = np.unravel_index(int(score.argmax()), score.shape)
     i, j, end, matched = int(i), int(j), int(j), 0
     while i and j and score[i, j]:
         same = item[i - 1] == passage[j - 1]
-        if score[i, j] == score[i - 1, j - 1] + (2 if same else -1):
+        if score[i, j] == score[i - 1, j - 1] + (MATCH if same else -1):
             matched += bool(same)
             i, j = i - 1, j - 1
         elif score[i, j] == score[i - 1, j] - 1:

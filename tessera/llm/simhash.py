@@ -221,7 +221,7 @@ def star_edges(prints: DataFrame, hot: int = HOT) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node of the edges (a, b): the least node reachable."""
+    """(node, root) of every node of the edges (a, b) that reaches a lesser one: the least of these."""
     edges = cut(edges)
     state = None
     while True:

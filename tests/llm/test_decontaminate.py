@@ -1,0 +1,85 @@
+"""Decontamination: planted exact, edited and partial copies; alignment; odd rows."""
+
+import random
+
+import numpy as np
+from test_pii import DOCS
+
+from tessera.llm import decontaminate as D
+
+ITEMS = "item_id long, text string"
+
+
+def world(seed=1):
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randrange(2, 8)))
+    common = [word() for _ in range(12)]
+    text = lambda n: [r.choice(common) if r.random() < 0.4 else word() for _ in range(n)]
+    return r, text
+
+
+def test_planted_copies_are_found_and_clean_documents_left_alone(spark):
+    r, text = world()
+    items = [text(r.randrange(14, 60)) for _ in range(40)]
+    docs, want = [], set()
+    for i in range(300):
+        d = text(r.randrange(50, 300))
+        if i % 3 == 0:
+            k = r.randrange(40)
+            p = list(items[k])
+            if i % 2:
+                for at in r.sample(range(len(p)), int(0.2 * len(p))):  # as many edits as the similarity allows
+                    p[at] = "changed"
+            at = r.randrange(len(d))
+            d[at:at] = [w.upper() + "!!" for w in p]
+            want.add((i, k))
+        elif i % 3 == 1:
+            p = items[r.randrange(40)]
+            d[10:10] = p[: len(p) // 2]  # half an item is no copy
+        docs.append(" ".join(d))
+    rows = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(docs)], DOCS)
+    bench = spark.createDataFrame([(k, " ".join(p)) for k, p in enumerate(items)] + [(99, None), (98, "too short"), (0, " ".join(items[0]))], ITEMS)
+    out = D.leaks(rows, bench).collect()
+    assert {(x.doc_id, x.item_id) for x in out} == want and len(out) == len(want)
+    assert all(0.8 <= x.similarity <= 1 for x in out)
+    kept = D.without_leaks(rows, bench)
+    assert kept.columns == rows.columns and {x.doc_id for x in kept.collect()} == set(range(300)) - {i for i, _ in want}
+
+
+def test_insertions_and_deletions(spark):
+    _, text = world(3)
+    item = text(40)
+    more = item[:10] + ["extra"] + item[10:20] + item[22:30] + ["new", "words"] + item[30:]
+    found = D.Seeds([(7, " ".join(item))]).find(" ".join(text(30) + more + text(30)))
+    assert [(f[0], round(f[1], 3)) for f in found] == [(7, 0.95)] and found[0][2:] == (30, 30 + len(more))
+
+
+def test_alignment_matches_plain_dynamic_programming():
+    r = random.Random(2)
+    for _ in range(200):
+        a, b = [[r.randrange(4) for _ in range(r.randrange(1, 12))] for _ in range(2)]
+        best = 0
+        h = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a, 1):
+            for j, y in enumerate(b, 1):
+                h[i][j] = max(0, h[i - 1][j] - 1, h[i][j - 1] - 1, h[i - 1][j - 1] + (4 if x == y else -1))
+                best = max(best, h[i][j])
+        matched, low, high = D.align(np.array(a), np.array(b))
+        assert 4 * matched >= best and (best == 0) == (matched == 0) and 0 <= low <= high <= len(b)
+
+
+def test_blocks_cover_all_items(spark):
+    bench = spark.createDataFrame([(k, f"item {k} " * 20) for k in range(50)], ITEMS)
+    parts = list(D.blocks(bench, 2000))
+    assert len(parts) > 5 and sorted(i for p in parts for i, _ in p) == list(range(50))
+
+
+def test_odd_tables(spark):
+    docs = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", "s", 0)], DOCS)
+    bench = spark.createDataFrame([(1, "a b c d e f g")], ITEMS)
+    none = spark.createDataFrame([], ITEMS)
+    assert D.leaks(docs, bench).count() == D.leaks(docs, none).count() == 0
+    assert D.leaks(docs, bench).columns == D.leaks(docs, none).columns
+    assert D.without_leaks(docs, bench).count() == D.without_leaks(docs, none).count() == 2
+    twice = spark.createDataFrame([(5, "x a b c d e f g y", "en", "s", 0)] * 2, DOCS)
+    assert D.leaks(twice, bench).count() == 2 and D.without_leaks(twice, bench).count() == 0
