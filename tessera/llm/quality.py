@@ -16,8 +16,8 @@ without words have no vector and fail the base rule. Null and empty texts have n
 words; null languages and sources are groups of their own; repeated rows are
 judged alike.
 
-The estimates are one row a group and meet the rows in a join whose side Spark
-measures (the table written for it) before it may broadcast it.
+The estimates are one row a group, written to the shared folder; Spark measures that
+table before it may broadcast it, and otherwise shuffles salted rows.
 """
 
 from __future__ import annotations
@@ -38,6 +38,9 @@ CUTOFF = 60.0
 #: Bins per doubling of the squared distance, and their range.
 FINE, LOW, HIGH = 4, -60, 200
 
+#: Parts of a group in a shuffled join.
+SALTS = 64
+
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -131,8 +134,13 @@ def _factor(params: DataFrame) -> DataFrame:
 
 
 def _distance(rows: DataFrame, params: DataFrame) -> DataFrame:
-    """``rows`` with their squared Mahalanobis distance ``d2``."""
-    rows = rows.join(params, "key")
+    """``rows`` with their squared Mahalanobis distance ``d2``.
+
+    Rows are salted, so that where the join shuffles no task gets all rows of a group.
+    """
+    rows = rows.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+    salted = params.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    rows = rows.join(salted, ["key", "salt"])
     for i in range(D):
         z = F.col(f"x{i}") - F.col(f"m{i}")
         for k in range(i):
