@@ -99,38 +99,38 @@ def _masks() -> tuple[list[int], dict[int, list[int]]]:
 def linked_rows(values: np.ndarray, sizes: np.ndarray, radius: int = RADIUS) -> np.ndarray:
     """For each of the values, the first row of its linked group within its bucket.
 
-    ``values``: uint64 fingerprints, bucket after bucket, of ``sizes`` rows each.
+    ``values``: uint64 fingerprints (or rows of several words), bucket after bucket, of ``sizes`` rows each.
     """
+    values = values.reshape(len(values), -1)
     n = len(values)
     parent = np.arange(n)
-    bucket = np.repeat(np.arange(len(sizes)), sizes)
     room = np.repeat(np.cumsum(sizes), sizes) - np.arange(n)  # rows from here to the bucket's end
-    words = n // 64 + 2
-    bits = np.unpackbits(values.astype("<u8").view(np.uint8).reshape(n, 8), axis=1, bitorder="little").T
-    planes = np.zeros((64, words * 8), np.uint8)
+    bits = np.unpackbits(np.ascontiguousarray(values).astype("<u8").view(np.uint8).reshape(n, -1), axis=1, bitorder="little").T
+    bits = bits[(bits != bits[:, :1]).any(axis=1)]  # planes in which the rows differ
+    planes = np.zeros((len(bits), (n // 64 + 2) * 8), np.uint8)
     packed = np.packbits(bits, axis=1, bitorder="little")
     planes[:, : packed.shape[1]] = packed
     planes = planes.view("<u8")
-    planes = planes[(planes != 0).any(axis=1) & ((~planes[:, : n // 64]) != 0).any(axis=1)] if n >= 64 else planes
+    # counters start so high that the first bit beyond the radius overflows them
+    depth = (radius + 1).bit_length()
+    head = (1 << depth) - 1 - radius
     for s in range(1, int(sizes.max(initial=1))):
         off, r = divmod(s, 64)
         width = (n - s + 63) // 64
         valid = np.zeros(width * 64, np.uint8)
         valid[: n - s] = room[: n - s] > s
         over = ~np.packbits(valid, bitorder="little").view("<u8")  # rows without a partner count as too far
-        low, high = np.zeros(width, np.uint64), np.zeros(width, np.uint64)
+        counters = [np.full(width, ALL if head >> k & 1 else 0, np.uint64) for k in range(depth)]
         for plane in planes:
             other = plane[off : off + width]
             if r:
                 other = (other >> np.uint64(r)) | (plane[off + 1 : off + 1 + width] << np.uint64(64 - r))
-            differ = plane[:width] ^ other
-            carry = low & differ
-            low ^= differ
-            over |= high & carry
-            high ^= carry
-            if radius < 3:
-                over |= (low & high) if radius == 2 else high if radius == 1 else low | high
-            if (over == np.uint64(0xFFFFFFFFFFFFFFFF)).all():
+            carry = plane[:width] ^ other
+            for c in counters:
+                c ^= carry
+                carry &= ~c  # the bits that were set and are not now
+            over |= carry
+            if (over == ALL).all():
                 break
         else:
             hit = np.flatnonzero(np.unpackbits((~over).view(np.uint8), bitorder="little")[: n - s])
@@ -145,58 +145,66 @@ def linked_rows(values: np.ndarray, sizes: np.ndarray, radius: int = RADIUS) ->
                     parent[max(x, y)] = min(x, y)
                 while not np.array_equal(up := parent[parent], parent):
                     parent = up
-    assert (bucket[parent] == bucket).all()
     return parent
 
 
 #: Rows compared in one bit-sliced block.
 BLOCK = 1 << 15
+ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def _edges(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Stars of the linked groups of buckets; rows come sorted by (mask, part)."""
+def bucket_edges(radius: int = RADIUS):
+    """A function for mapInPandas: stars (a, b) of the linked groups of buckets.
 
-    def block(values: np.ndarray, sizes: np.ndarray) -> pd.DataFrame:
+    Rows (bucket, text_key, fp) come sorted by bucket; ``fp`` is an array of longs, and
+    the text_key is what the edges name.
+    """
+
+    def block(keys: np.ndarray, values: np.ndarray, sizes: np.ndarray) -> pd.DataFrame:
         order = np.argsort(-sizes, kind="stable")  # like sizes together: few shifts for most rows
         starts = np.cumsum(sizes) - sizes
         out = []
         for group in np.split(order, np.flatnonzero(np.diff(np.ceil(np.log2(sizes[order]))) != 0) + 1):
             rows = np.concatenate([np.arange(starts[g], starts[g] + sizes[g]) for g in group])
-            root = linked_rows(values[rows].view(np.uint64), sizes[group])
+            root = linked_rows(values[rows], sizes[group], radius)
             away = root != np.arange(len(rows))
-            out.append(pd.DataFrame({"a": values[rows][away], "b": values[rows][root[away]]}))
+            out.append(pd.DataFrame({"a": keys[rows][away], "b": keys[rows][root[away]]}))
         return pd.concat(out)
 
     def whole(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        key = frame[["mask", "part"]].to_numpy()
-        cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+        bucket = frame["bucket"].to_numpy()
+        cuts = np.flatnonzero(bucket[1:] != bucket[:-1]) + 1
         sizes = np.diff(np.concatenate([[0], cuts, [len(frame)]]))
-        keep = np.repeat(sizes > 1, sizes)
-        values, sizes = frame["fp"].to_numpy()[keep], sizes[sizes > 1]
-        done = 0
-        ends = np.cumsum(sizes)
+        frame, sizes = frame[np.repeat(sizes > 1, sizes)], sizes[sizes > 1]
+        if not len(frame):
+            return
+        keys, values = frame["text_key"].to_numpy(), np.stack(frame["fp"].to_numpy()).view(np.uint64)
+        done, ends = 0, np.cumsum(sizes)
         while done < len(sizes):
             base = ends[done] - sizes[done]
             upto = max(done + 1, int(np.searchsorted(ends, base + BLOCK, "right")))
-            yield block(values[base : ends[upto - 1]], sizes[done:upto])
+            yield block(keys[base : ends[upto - 1]], values[base : ends[upto - 1]], sizes[done:upto])
             done = upto
 
-    rest: list[pd.DataFrame] = []
-    for part in parts:
-        if not len(part):
-            continue
-        key = part[["mask", "part"]].to_numpy()
-        inner = np.flatnonzero((key != key[-1]).any(axis=1))
-        upto = inner[-1] + 1 if len(inner) else 0
-        if rest and (key[0] != rest[-1][["mask", "part"]].to_numpy()[-1]).any():
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest: list[pd.DataFrame] = []
+        for part in parts:
+            if not len(part):
+                continue
+            bucket = part["bucket"].to_numpy()
+            others = np.flatnonzero(bucket != bucket[-1])
+            upto = int(others[-1]) + 1 if len(others) else 0
+            if rest and bucket[0] != rest[-1]["bucket"].iloc[-1]:
+                yield from whole(pd.concat(rest))
+                rest = []
+            if upto:
+                yield from whole(pd.concat([*rest, part.iloc[:upto]]))
+                rest = []
+            rest.append(part.iloc[upto:])
+        if rest:
             yield from whole(pd.concat(rest))
-            rest = []
-        if upto:
-            yield from whole(pd.concat([*rest, part.iloc[:upto]]))
-            rest = []
-        rest.append(part.iloc[upto:])
-    if rest:
-        yield from whole(pd.concat(rest))
+
+    return run
 
 
 def star_edges(prints: DataFrame, hot: int = HOT) -> DataFrame:
@@ -216,8 +224,10 @@ def star_edges(prints: DataFrame, hot: int = HOT) -> DataFrame:
             rows = warm.select("fp", F.explode(children[F.col("mask")]).alias("mask"))
             rows = rows.withColumn("part", F.col("fp").bitwiseAND(F.col("mask")))
         ready = cold if ready is None else ready.unionByName(cold)
-    dealt = ready.select("mask", "part", "fp").repartition("mask", "part").sortWithinPartitions("mask", "part", "fp")
-    return dealt.mapInPandas(_edges, "a long, b long").distinct()
+    # the hash stands for (mask, part): should two meet, their rows are only compared in vain
+    dealt = ready.select(F.xxhash64("mask", "part").alias("bucket"), F.col("fp").alias("text_key"), F.array("fp").alias("fp"))
+    dealt = dealt.repartition("bucket").sortWithinPartitions("bucket", "text_key")
+    return dealt.mapInPandas(bucket_edges(), "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -241,31 +251,20 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def named(prints: DataFrame) -> DataFrame:
-    """(own, root, component_id) of every distinct ``fp`` of ``prints`` (doc_id, fp)."""
+    """(own, component_id) of every distinct ``fp`` of ``prints`` (doc_id, fp)."""
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(star_edges(distinct.select("fp")))
     known = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    return known.join(ids, "root").select(F.col("fp").alias("own"), "root", "component_id")
+    return known.join(ids, "root").select(F.col("fp").alias("own"), "component_id")
 
 
 def link(prints: DataFrame) -> DataFrame:
-    """``prints`` (doc_id, fp, ...), cheap to read twice, with the ``root`` fingerprint and ``component_id`` of each row."""
+    """``prints`` (doc_id, fp, ...), cheap to read twice, with the ``component_id`` of each row."""
     groups = named(prints)
     return prints.join(groups, prints["fp"] == groups["own"]).drop("own")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents, all columns, that stay when each group keeps its row of the least doc_id."""
-    columns = docs.columns
-    rows = cut(docs.select(F.struct(*[docs[c] for c in columns]).alias("doc"), docs["doc_id"].cast("long").alias("doc_id"), fingerprint(docs["text"]).alias("fp"), F.monotonically_increasing_id().alias("row")))
-    linked = cut(link(rows.select("doc_id", "fp", "row")).select("root", "row", "doc_id"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "row"))["row"]
-    stay = linked.groupBy("root").agg(first.alias("stay"))
-    gone = linked.join(stay, "root").where("row <> stay").select("row")
-    return rows.join(gone, "row", "left_anti").select(*[F.col("doc")[c].alias(c) for c in columns])
-
-
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row."""
     prints = cut(docs.select(docs["doc_id"].cast("long").alias("doc_id"), fingerprint(docs["text"]).alias("fp")))
