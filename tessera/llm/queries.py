@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import byte_bpe, decontaminate, links, oracles, pii, quality, secrets, sharding, simhash, substrings, toxicity
+from ..shipping import ship
 from .shared import table
 
 
@@ -50,8 +51,18 @@ def op10_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.verdicts(table(spark, sf_dir, "pages"))
 
 
+ALL = (op1_substrings, op2_pii, op3_byte_bpe, op4_quality, op5_decontaminate, op6_sharding, op7_secrets, op8_simhash, op9_toxicity, op10_links)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substrings, op2_pii, op3_byte_bpe, op4_quality, op5_decontaminate, op6_sharding, op7_secrets, op8_simhash, op9_toxicity, op10_links)}
+    def ready(query: Callable) -> Callable[[SparkSession, str], DataFrame]:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return query(spark, sf_dir)
+
+        return run
+
+    return {f.__name__: ready(f) for f in ALL}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,44 +1,22 @@
-"""What several corpus operators need: cutting lineage and reading inputs."""
+"""What several corpus operators need."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words everywhere: runs of anything but ASCII white space.
-WORD_BREAK = r"[\x20\x09-\x0D]+"
-
+from ..lineage import cut
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
+__all__ = ["WORD_BREAK", "cut", "hex_digest", "table"]
 
-    Where the session has none it is a fresh temporary folder, which only a
-    local master can use; on a cluster the setting is required.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def cut(frame: DataFrame) -> DataFrame:
-    """Write ``frame`` to the shared folder and read it back: a short lineage that survives lost executors."""
-    spark = frame.sparkSession
-    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+#: Words everywhere: runs of anything but ASCII white space.
+WORD_BREAK = r"[\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def hex_digest(text) -> object:
+def hex_digest(text: Column) -> Column:
     """Column: lowercase hex SHA-256 of a string's UTF-8 bytes."""
     return F.sha2(text, 256)
