@@ -285,13 +285,14 @@ def repeated(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """(id, tag, first, last): intervals of starts of repeated windows."""
     keyed = _keyed(docs)
     segments = cut(keyed.select("id", "tag", "text").mapInPandas(_segments, "anchor long, content long, id long, tag int, start int, windows int"))
-    shared = segments.groupBy("anchor").count().where("count > 1").select("anchor")
+    # Written, as Spark splits a skewed join only if each side has a shuffle of its own.
+    shared = cut(segments.groupBy("anchor").count().where("count > 1").select("anchor"))
     kept = cut(segments.join(shared, "anchor", "left_semi"))
     place = F.min(F.struct("id", "tag", "start", "windows")).alias("place")
     distinct = cut(kept.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), place))
     copies = kept.join(distinct.where("n > 1").select("anchor", "content"), ["anchor", "content"], "left_semi")
     plain = copies.select("id", "tag", F.col("start").alias("first"), (F.col("start") + F.col("windows") - 1).alias("last"))
-    crowd = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1")
+    crowd = cut(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1"))
     mixed = distinct.join(crowd, "anchor").select("anchor", "place.*", (F.col("n") == 1).alias("single"), (F.col("kinds") > hot).alias("hot"))
     wanted = mixed.groupBy("id", "tag").agg(F.collect_list(F.struct("anchor", "start", "windows", "single", "hot")).alias("wanted"))
     fetched = keyed.select("id", "tag", "text").join(wanted, ["id", "tag"])
