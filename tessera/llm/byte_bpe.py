@@ -26,6 +26,7 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -36,6 +37,9 @@ CACHE_WORDS = 300_000
 #: Keys per displacement bucket of the perfect hash, on average.
 BUCKET = 4
 
+#: Rows of a result batch.
+OUT_ROWS = 500
+
 RESULT = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: White space that decides its split as a whole.
 LONG_SPACE = re.compile(r"\s\s+")
@@ -118,32 +122,42 @@ class Codec:
         self.ids = [self.ranks[t] for t in self.tokens]
         self.perfect = PerfectHash(self.tokens)
         self.bytes_of = {rank: token for token, rank in self.ranks.items()}
+        self.rank_of_two = [self.ranks.get(bytes((a, b)), -1) for a in range(256) for b in range(256)]
+        self.decimal = {rank: str(rank) for rank in self.ids}
         self.pattern = regex.compile(pattern)
         self.known: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
 
     def merge(self, word: bytes) -> tuple[int, ...]:
         """The ids of a pre-token that is no vocabulary entry."""
-        n, ranks = len(word), self.ranks
-        nxt, prev, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
-        heap = [(r, i) for i in range(n - 1) if (r := ranks.get(word[i : i + 2])) is not None]
+        n, rank_of, ranks = len(word), self.ranks.get, self.ranks
+        # a part begins at i and ends where the next begins; pair[i]: rank of it joined with the next
+        nxt, prev = list(range(1, n + 1)), list(range(-1, n - 1))
+        of_two = self.rank_of_two
+        pair = [of_two[a << 8 | b] for a, b in zip(word, word[1:])]
+        pair.append(-1)
+        heap = [r * n + i for i, r in enumerate(pair) if r >= 0]
         heapify(heap)
         while heap:
-            rank, i = heappop(heap)
-            j = nxt[i]
-            if j >= n or end[i] == 0 or ranks.get(word[i : end[j]]) != rank:
+            rank, i = divmod(heappop(heap), n)
+            if pair[i] != rank:
                 continue  # one of the two has been merged meanwhile
-            end[i], end[j] = end[j], 0
-            j = nxt[i] = nxt[j]
-            if j < n:
-                prev[j] = i
-                if (r := ranks.get(word[i : end[j]])) is not None:
-                    heappush(heap, (r, i))
-            if (p := prev[i]) >= 0 and (r := ranks.get(word[p : end[i]])) is not None:
-                heappush(heap, (r, p))
+            j = nxt[i]
+            end = nxt[i] = nxt[j]
+            pair[i] = pair[j] = -1
+            if end < n:
+                prev[end] = i
+                r = pair[i] = rank_of(word[i : nxt[end]], -1)
+                if r >= 0:
+                    heappush(heap, r * n + i)
+            before = prev[i]
+            if before >= 0:
+                r = pair[before] = rank_of(word[before:end], -1)
+                if r >= 0:
+                    heappush(heap, r * n + before)
         out, i = [], 0
         while i < n:
-            out.append(ranks[word[i : end[i]]])
+            out.append(ranks[word[i : nxt[i]]])
             i = nxt[i]
         return tuple(out)
 
@@ -154,32 +168,39 @@ class Codec:
 
     def learn(self, pieces: list[str]) -> None:
         """Encode pieces of text that begin and end where pre-tokens do."""
-        split = [self.pattern.findall(p) for p in pieces]
-        words = list(dict.fromkeys(chain.from_iterable(split)))
-        ids = dict(zip(words, self.encode_words([w.encode() for w in words])))
+        # letters after a space are one pre-token
+        split = [[p] if p[0] == " " and p[1:].isalpha() else self.pattern.findall(p) for p in pieces]
+        known, older = self.known, self.older
+        words = [w for w in dict.fromkeys(chain.from_iterable(split)) if w not in known]
+        fresh = [w for w in words if w not in older]
+        known.update((w, older[w]) for w in words if w in older)
+        known.update(zip(fresh, self.encode_words([w.encode() for w in fresh])))
         for piece, parts in zip(pieces, split):
-            self.known[piece] = ids[parts[0]] if len(parts) == 1 else tuple(chain.from_iterable(map(ids.__getitem__, parts)))
-
-    def encode(self, text: str) -> list[int]:
-        pieces, done = [], 0
-        for start, end in long_runs(text):
-            pieces += _words(text[done:start])
-            pieces.append(text[start:end])
-            done = end
-        pieces += _words(text[done:])
+            if len(parts) > 1:
+                known[piece] = tuple(chain.from_iterable(map(known.__getitem__, parts)))
+
+    def encode_all(self, texts: list[str]) -> Iterator[list[int]]:
+        """The ids of each text; words new to the cache are encoded together."""
+        cut = []
+        for text in texts:
+            pieces, done = [], 0
+            for start, end in long_runs(text):
+                pieces += _words(text[done:start])
+                pieces.append(text[start:end])
+                done = end
+            pieces += _words(text[done:])
+            cut.append(pieces)
         if len(self.known) > CACHE_WORDS:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
-        missing = []
-        for p in dict.fromkeys(pieces):
-            if p not in known:
-                if p in older:
-                    known[p] = older[p]
-                else:
-                    missing.append(p)
-        if missing:
-            self.learn(missing)
-        return list(chain.from_iterable(map(known.__getitem__, pieces)))
+        fresh = set(chain.from_iterable(cut)).difference(known)
+        known.update((p, older[p]) for p in fresh if p in older)
+        self.learn([p for p in fresh if p not in older])
+        for pieces in cut:
+            yield list(chain.from_iterable(map(known.__getitem__, pieces)))
+
+    def encode(self, text: str) -> list[int]:
+        return next(self.encode_all([text]))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -208,7 +229,7 @@ def encode(text: Column, path: str, pattern: str) -> Column:
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = codec(path, pattern)
         for part in parts:
-            yield pd.Series([np.array(own.encode(t or ""), np.int32) for t in part])
+            yield pd.Series([np.array(ids, np.int32) for ids in own.encode_all([t or "" for t in part])])
 
     return run(text)
 
@@ -225,24 +246,34 @@ def decode(ids: Column, path: str, pattern: str) -> Column:
     return run(ids)
 
 
-def digests(text: Column, path: str, pattern: str, with_ids: bool = False) -> Column:
-    """Column: number of ids, digests of the ids and of their decoding, and the ids if asked, in one pass."""
-
-    @F.pandas_udf(RESULT + ", ids array<int>" * with_ids)
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        own = codec(path, pattern)
-        for part in parts:
-            rows = []
-            for t in part:
-                ids = own.encode(t or "")
-                row = (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(own.decode(ids)).hexdigest())
-                rows.append((*row, np.array(ids, np.int32)) if with_ids else row)
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 3 + with_ids])
-
-    return run(text)
-
-
 def encode_digests(docs: DataFrame, path: str | None = None, pattern: str | None = None, with_ids: bool = False) -> DataFrame:
-    """``doc_id`` and the digests (and ids) of every text, without a shuffle."""
+    """``doc_id``, number of ids, digests of the ids and of their decoding (and the ids), of every text.
+
+    One pass without a shuffle; results leave a task in batches of ``OUT_ROWS``.
+    """
     default = default_vocabulary()
-    return docs.select(docs["doc_id"], digests(docs["text"], path or default[0], pattern or default[1], with_ids).alias("out")).select("doc_id", "out.*")
+    path, pattern = path or default[0], pattern or default[1]
+    rows = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text"))
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(path, pattern)
+        decimal = own.decimal.__getitem__
+        for batch in batches:
+            for at in range(0, batch.num_rows, OUT_ROWS):
+                part = batch.slice(at, OUT_ROWS)
+                sizes, of_ids, of_text, all_ids = [], [], [], []
+                for ids in own.encode_all([t or "" for t in part.column(1).to_pylist()]):
+                    sizes.append(len(ids))
+                    of_ids.append(hashlib.sha256(" ".join(map(decimal, ids)).encode()).hexdigest())
+                    of_text.append(hashlib.sha256(own.decode(ids)).hexdigest())
+                    if with_ids:
+                        all_ids.append(np.array(ids, np.int32))
+                out = [part.column(0), pa.array(sizes, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())]
+                if with_ids:
+                    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                    out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(all_ids))))
+                yield pa.RecordBatch.from_arrays(out, names)
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"doc_id {kind}, {RESULT}" + ", ids array<int>" * with_ids)
