@@ -11,12 +11,13 @@ Atoms are bounded in number whatever the data. A group over a
 ``3 * SHARDS * LARGE`` of those. All other groups meet in ``ATOMS`` atoms by the
 hash of their text. Only the atoms' vectors reach the driver, and their places
 travel back as a table of that size. Equal texts share a shard, except that a
-group over a whole shard's capacity is cut into pieces by the hash of doc_id, as no
+group over a whole shard's capacity is cut into pieces by the hash of a row number, as no
 packing could balance it otherwise.
 
 Slots number each shard's rows from 0: rows are ranked within ``(shard, part)``,
-parts being hashes of doc_id whose number grows with the rows, and the parts' counts
-give each its offset. No task holds a shard.
+parts being hashes of the row number whose count grows with the rows, and the parts' sizes
+give each its offset. No task holds a shard, even if one doc_id or text holds a third of
+the rows. The row number is written with the rows, so it holds when tasks are repeated.
 
 Defined results: a null text has size 1 and is a group of its own, the empty text
 another of the same size; repeated rows get slots of their own; an empty table gives
@@ -78,6 +79,7 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
             F.when(text.isNull(), 0).otherwise(spaces + 1).cast("long").alias("tokens"),
             F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
             _group(text).alias("text_key"),
+            F.monotonically_increasing_id().alias("row"),
         )
     )
     sums = [F.coalesce(F.sum(x), F.lit(0)).cast("long").alias(x) for x in ("size", "tokens")] + [F.count(F.lit(1)).alias("rows")]
@@ -87,20 +89,20 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     large = cut(groups.where(F.greatest(*parts) > 1 / LARGE).withColumn("pieces", F.greatest(F.lit(1), F.when(F.greatest(*parts) > 1, F.ceil(F.greatest(*parts) * 4)).otherwise(1)).cast("int")))
     # at most 3 * shards * LARGE rows
     keyed = rows.join(F.broadcast(large.select("text_key", "pieces")), "text_key", "left")
-    piece = F.pmod(F.xxhash64("doc_id"), F.col("pieces"))
+    piece = F.pmod(F.xxhash64("row"), F.col("pieces"))
     atom = F.when(F.col("pieces").isNull(), F.pmod(F.xxhash64("text_key"), F.lit(ATOMS))).otherwise(F.xxhash64("text_key", piece))
     keyed = keyed.withColumn("atom", F.struct(F.col("pieces").isNotNull().alias("own"), atom.alias("id")))
     atoms = keyed.groupBy("atom").agg(*sums).orderBy("atom").collect()
     places = pack(np.array([[a[x] for x in DIMENSIONS] for a in atoms], float).reshape(-1, 3), shards).tolist()
     spark = docs.sparkSession
     placed = spark.createDataFrame([(a["atom"]["own"], a["atom"]["id"], p) for a, p in zip(atoms, places)], "own boolean, id long, shard int")
-    keyed = keyed.select("doc_id", "size", "text_crc32", F.col("atom.own").alias("own"), F.col("atom.id").alias("id"))
+    keyed = keyed.select("doc_id", "size", "text_crc32", "row", F.col("atom.own").alias("own"), F.col("atom.id").alias("id"))
     number = max(1, -(-total["rows"] // PART_ROWS))
-    put = keyed.join(F.broadcast(placed), ["own", "id"]).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(number)))
+    put = keyed.join(F.broadcast(placed), ["own", "id"]).withColumn("part", F.pmod(F.xxhash64("row"), F.lit(number)))
     counts = put.groupBy("shard", "part").count()
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(F.col("shard").alias("s"), F.col("part").alias("p"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
-    rank = F.row_number().over(Window.partitionBy("shard", "part").orderBy("doc_id", "size", "text_crc32"))
+    rank = F.row_number().over(Window.partitionBy("shard", "part").orderBy("row"))
     ranked = put.withColumn("rank", rank).join(offsets, (F.col("shard") == F.col("s")) & (F.col("part") == F.col("p")))
     return ranked.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
