@@ -36,10 +36,10 @@ BUCKETS = 1 << 18
 BEGINNINGS = (3, 4, 5, 6, 7)
 #: Documents of the sample that must share a feature.
 LEAST_DOCS = 4
-SCALE, ROUNDS, RATE, SPARSE = 40.0, 120, 0.1, 1e-3
+SCALE, ROUNDS, RATE, SPARSE = 40.0, 120, 0.3, 1e-3
 COUNTERFACTUAL = 1.0
 #: Tokens in one generation of a worker's cache.
-CACHE_TOKENS = 300_000
+CACHE_TOKENS = 200_000
 
 #: Sets of identity terms that may stand for one another.
 IDENTITY_SETS = (
