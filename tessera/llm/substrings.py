@@ -300,14 +300,14 @@ def repeated(docs: DataFrame, hot: int = HOT) -> DataFrame:
     cold = pieces.where("text is not null").select("anchor", "id", "tag", "start", "single", "text")
     matched = cold.repartition("anchor").sortWithinPartitions("anchor").mapInPandas(_match, "id long, tag int, first int, last int")
     windows = pieces.where("text is null").select("h1", "h2", "id", "tag", "start", "single")
-    twice = windows.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2")
+    twice = cut(windows.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2"))
     single = windows.where("single").join(twice, ["h1", "h2"], "left_semi").select("id", "tag", F.col("start").alias("first"), F.col("start").alias("last"))
     return plain.unionByName(matched).unionByName(single)
 
 
 def _outcome(docs: DataFrame, result: str, make) -> DataFrame:
     """doc_id and ``make(words, kept words)`` of every row."""
-    found = repeated(docs).groupBy("id", "tag").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("gone"))
+    found = repeated(docs).groupBy("id", "tag").agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("gone"))
     found = found.select(F.col("id").alias("own_id"), F.col("tag").alias("own_tag"), F.col("gone.first").alias("first"), F.col("gone.last").alias("last"))
 
     @F.pandas_udf(result)
