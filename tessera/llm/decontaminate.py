@@ -1,15 +1,15 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
-
-Seeds are the 3-word grams of the test items that at most ``RARE`` items share
-(items left with fewer than half of theirs keep all). Words are lower-cased
-letter and digit runs. By the q-gram lemma a passage within e word edits of
-an item keeps all but 3e of its seeds, so a passage that matches 0.8 of an item
-has at least ``seeds - 3 * floor(0.2 * words)`` of them near one diagonal; only
-such stretches are aligned (match 4, mismatch and gap -1, so that matches beyond a few
-edits still count). Similarity is the
+"""Benchmark decontamination: rare words of the items as seeds, then Smith-Waterman alignment.
+
+Words are lower-cased letter and digit runs. The alignment scores match 4, mismatch and gap
+-1, so that matches beyond a few edits still count. Similarity is the
 share of the item's words that the best alignment matches; ``SIMILARITY`` and
-more counts as a leak. Shorter grams than the usual five words keep
-candidates complete at that similarity; they only choose what is aligned.
+more counts as a leak.
+
+A leak matches ``need`` words of an item of n, so a document without ``SEEDS`` of its ``n - need + SEEDS``
+rarest words holds none. Of the other documents those go on that hold ``need`` of the item's words at all, and in them
+only stretches where ``need`` such words lie within ``REACH`` n words are aligned: as each word inserted or changed costs a
+quarter of a match, no alignment is longer. All three are necessary conditions, however the edits
+are spread, so no leak is lost before it is aligned.
 
 Items go to the tasks in blocks of at most ``BLOCK_BYTES``, one pass over the
 documents a block: documents are never shuffled and the broadcast is bounded
@@ -22,8 +22,9 @@ row, repeated items once a document.
 
 from __future__ import annotations
 
+import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -32,8 +33,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-GRAM = 3
-RARE = 8
+SEEDS = 3
+REACH = 5
+#: Words of a stretch that are aligned at once, unless the item needs more.
+PIECE = 10_000
 SIMILARITY = 0.8
 MATCH = 4
 LEAST_WORDS = 5
@@ -77,74 +80,68 @@ class Seeds:
     items: list[tuple[int, str]]
     ids: list[int] = field(default_factory=list)
     texts: list[np.ndarray] = field(default_factory=list)
-    least: list[int] = field(default_factory=list)
+    need: list[int] = field(default_factory=list)
     vocabulary: dict[str, int] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
-        places: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for item_id, text in dict.fromkeys(self.items):
             words = words_of(text)
             if len(words) < LEAST_WORDS:
                 continue
-            own = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.int64)
-            for at, gram in enumerate(self.grams(own).tolist()):
-                places[gram].append((len(self.ids), at))
             self.ids.append(item_id)
-            self.texts.append(own)
-        shared = {g: len({i for i, _ in p}) for g, p in places.items()}
-        kept = []
+            self.texts.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.int64))
+            self.need.append(math.ceil(SIMILARITY * len(words) - 1e-9))
+        self.counts = [np.unique(own, return_counts=True) for own in self.texts]
+        shared = np.zeros(len(self.vocabulary) + 1, np.int64)
+        for own, _ in self.counts:
+            shared[own] += 1
+        self.places: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for i, own in enumerate(self.texts):
-            grams = self.grams(own).tolist()
-            rare = [g for g in grams if shared[g] <= RARE]
-            kept.append({*grams} if 2 * len(rare) < len(grams) else {*rare})
-            seeds = len(grams) if 2 * len(rare) < len(grams) else len(rare)
-            self.least.append(max(1, seeds - GRAM * int((1 - SIMILARITY) * len(own) + 1e-9)))
-        places = {g: [(i, at) for i, at in p if g in kept[i]] for g, p in places.items()}
-        places = {g: p for g, p in sorted(places.items()) if p}
-        self.keys = np.array([*places], np.int64)
-        self.places = [*places.values()]
-
-    @staticmethod
-    def grams(words: np.ndarray) -> np.ndarray:
-        """3-grams of word numbers under 2 ** 21 as integers; those with a foreign word (0) as -1."""
-        a, b, c = words[:-2], words[1:-1], words[2:]
-        return np.where((a > 0) & (b > 0) & (c > 0), (a << 42) | (b << 21) | c, -1)
+            rarest = own[np.lexsort((own, shared[own]))][: len(own) - self.need[i] + SEEDS]
+            for word, n in Counter(rarest.tolist()).items():
+                self.places[word].append((i, n))
+        self.seed = np.zeros(len(self.vocabulary) + 1, bool)
+        self.seed[[*self.places]] = True
+
+    def stretches(self, item: int, own: np.ndarray) -> Iterator[tuple[int, int]]:
+        """The parts of a document, in pieces, that hold every alignment matching enough of an item."""
+        need, reach = self.need[item], REACH * len(self.texts[item])
+        at = np.flatnonzero(np.isin(own, self.counts[item][0]))
+        last = at[need - 1 :]
+        first = at[: len(last)]
+        close = last - first < reach
+        first, last = first[close], last[close]
+        new = np.flatnonzero(first[1:] > last[:-1]) + 1
+        piece = max(PIECE, 4 * reach)
+        for low, high in zip(first[np.r_[0, new]].tolist(), last[np.r_[new - 1, -1]].tolist()) if len(first) else ():
+            for start in range(low, max(low + 1, high + 1 - reach), piece - reach):
+                yield start, min(high + 1, start + piece)
 
     def find(self, text: str | None) -> list[tuple[int, float, int, int]]:
         words = words_of(text)
-        if len(words) < GRAM or not len(self.keys):
+        if len(words) < LEAST_WORDS - 1 or not self.ids:
             return []
         known = self.vocabulary
         own = np.fromiter((known.get(w, 0) for w in words), np.int64, len(words))
-        grams = self.grams(own)
-        at = np.flatnonzero(grams >= 0)
-        slot = np.minimum(np.searchsorted(self.keys, grams[at]), len(self.keys) - 1)
-        hit = self.keys[slot] == grams[at]
-        diagonals: dict[int, list[int]] = defaultdict(list)
-        for position, k in zip(at[hit].tolist(), slot[hit].tolist()):
-            for item, offset in self.places[k]:
-                diagonals[item].append(position - offset)
+        hits: dict[int, int] = defaultdict(int)
+        for word in set(own[self.seed[own]].tolist()):
+            for item, n in self.places[word]:
+                hits[item] += n
+        likely = [item for item, n in hits.items() if n >= SEEDS]
+        if not likely:
+            return []
+        held = np.bincount(own, minlength=len(known) + 1)
         best: dict[int, tuple[int, float, int, int]] = {}
-        for item, starts in diagonals.items():
-            target, least = self.texts[item], self.least[item]
-            if len(starts) < least:
+        for item in likely:
+            target, need = self.texts[item], self.need[item]
+            distinct, counts = self.counts[item]
+            if np.minimum(counts, held[distinct]).sum() < need:
                 continue
-            n, pad = len(target), max(2, len(target) // 4)
-            start = np.sort(np.array(starts))
-            upto = np.searchsorted(start, start + pad, "right")  # seeds whose diagonal is within the pad
-            full = np.flatnonzero(upto - np.arange(len(start)) >= least)
-            done = None
-            for k in full.tolist():
-                if done is not None and start[k] <= done:
-                    continue
-                done = start[k] + pad
-                low, high = max(0, int(start[k]) - pad), min(len(own), int(start[k]) + n + 2 * pad)
+            for low, high in self.stretches(item, own):
                 matched, a, b = align(target, own[low:high])
-                found = (self.ids[item], matched / n, low + a, low + b)
-                if found[1] >= SIMILARITY and (found[0] not in best or found[1] > best[found[0]][1]):
+                found = (self.ids[item], matched / len(target), low + a, low + b)
+                if matched >= need and (found[0] not in best or found[1] > best[found[0]][1]):
                     best[found[0]] = found
-                if matched == n:
-                    break
         return sorted(best.values())
 
 

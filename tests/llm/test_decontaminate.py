@@ -83,3 +83,40 @@ def test_odd_tables(spark):
     assert D.without_leaks(docs, bench).count() == D.without_leaks(docs, none).count() == 2
     twice = spark.createDataFrame([(5, "x a b c d e f g y", "en", "s", 0)] * 2, DOCS)
     assert D.leaks(twice, bench).count() == 2 and D.without_leaks(twice, bench).count() == 0
+
+
+def test_substitutions_and_insertions_match_full_alignment():
+    r, text = world(5)
+    items = [text(r.randrange(5, 60)) for _ in range(40)]
+    seeds = D.Seeds([(k, " ".join(p)) for k, p in enumerate(items)])
+    number = {}
+    code = lambda words: np.array([number.setdefault(w, len(number)) for w in words])
+    leaked = 0
+    for i in range(600):
+        k = r.randrange(40)
+        change, insert = r.choice([(0.2, 0.05), (0.1, 0.3), (0.0, 0.3), (0.15, 0.5), (0.0, 1.0), (0.3, 0.1)])
+        copy = [x for w in items[k] for x in [text(1)[0] if r.random() < change else w] + ["new"] * (r.random() < insert)]
+        doc = text(r.randrange(0, 80)) + copy + text(r.randrange(0, 80))
+        found = {f[0] for f in seeds.find(" ".join(doc))}
+        if D.align(code(items[k]), code(doc))[0] >= 0.8 * len(items[k]) - 1e-9:
+            leaked += 1
+            assert k in found, (items[k], copy)
+    assert leaked > 200
+
+
+def test_a_word_inserted_after_every_third_or_second():
+    _, text = world(6)
+    item = text(30)
+    for step in (3, 2, 1):
+        copy = [x for k, w in enumerate(item, 1) for x in ([w, f"new{k}"] if k % step == 0 else [w])]
+        found = D.Seeds([(7, " ".join(item))]).find(" ".join(text(20) + copy + text(20)))
+        assert [f[:2] for f in found] == [(7, 1.0)]
+
+
+def test_long_stretches_are_aligned_in_pieces():
+    _, text = world(7)
+    item = text(20)
+    filler = [w for k in range(5000) for w in (item[k % 9], item[8 - k % 9])]
+    for at in (0, 5_000, 9_950, 10_000):
+        found = D.Seeds([(7, " ".join(item))]).find(" ".join(filler[:at] + item + filler[at:]))
+        assert [f[:2] for f in found] == [(7, 1.0)]
