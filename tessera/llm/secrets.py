@@ -8,8 +8,8 @@ become spans of kind ``random``.
 
 ``train`` takes labelled samples (value, random). ``labelled`` derives them from
 the documents: values of base spans are random strings, runs of letters outside
-base spans are identifiers; of each label the ``SAMPLE`` distinct values with the
-least hash count (the bound of the fit). The model is a 65 x 65 table whatever
+base spans are identifiers; all distinct values of each label count. They are
+aggregated by character pair, so the model is a table of ``WIDTH`` x ``WIDTH`` whatever
 the data, so it travels in the plan as a literal.
 
 DataFrame functions only; the texts are read once, and spans and runs are written
@@ -29,7 +29,6 @@ from .shared import cut, hex_digest
 
 KINDS = ("assign", "access", "hex")
 METHOD = "random"
-SAMPLE = 20_000
 LOG_ODDS = 12.0
 SHORTEST = 16
 
@@ -118,12 +117,11 @@ def scanned(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", "base", F.transform("base", value).alias("values"), outside.alias("runs"))
 
 
-def labelled(rows: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(value, random): a bounded sample of each label."""
+def labelled(rows: DataFrame) -> DataFrame:
+    """(value, random): the distinct values of each label."""
     secret = rows.select(F.explode("values").alias("value"), F.lit(True).alias("random"))
     letters = rows.select(F.explode("runs.value").alias("value"), F.lit(False).alias("random")).where(F.col("value").rlike("^[A-Za-z]+$"))
-    bounded = [x.distinct().orderBy(F.xxhash64("value"), "value").limit(sample) for x in (secret, letters)]
-    return bounded[0].unionByName(bounded[1])
+    return secret.distinct().unionByName(letters.distinct())
 
 
 def find(docs: DataFrame) -> DataFrame:

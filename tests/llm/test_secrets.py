@@ -55,3 +55,9 @@ def test_empty_and_repeated(spark):
     assert secrets.find(spark.createDataFrame([], DOCS)).count() == 0
     docs = spark.createDataFrame([(1, "token=abcdefabcdef", "en", "s", 0)] * 2 + [(None, None, None, None, None)], DOCS)
     assert secrets.find(docs.withColumnRenamed("lang", "base")).where("n_assign = 1").count() == 2
+
+
+def test_all_distinct_values_are_counted(spark):
+    rows = spark.range(30_000, numPartitions=8).selectExpr("array(lower(lpad(hex(id % 25000), 32, '0'))) values", "array(struct(translate(lpad(lower(hex(id)), 20, '0'), '0123456789abcdef', 'abcdefghijklmnop') value)) runs")
+    found = {r.random: r["count"] for r in secrets.labelled(rows).groupBy("random").count().collect()}
+    assert found == {True: 25_000, False: 30_000}
