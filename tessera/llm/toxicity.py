@@ -8,8 +8,9 @@ another of its set: what a group is called must not move a score.
 
 The classifier is fitted on at most ``SAMPLE`` labelled documents, those with
 the least hash of their doc_id, never on held-out ones (crc32 of doc_id mod 5 is
-0); executors make the features, and only bounded arrays of these reach the
-driver. Scoring is one Arrow-batched pass without a shuffle over whole texts.
+0); executors make the features, and the driver gets the rows of at most ``MOST`` of these
+documents, by the hash of their doc_id, and one row for each distinct change of features that swaps make,
+with its weight over all sentences. Neither depends on partitioning. Scoring is one Arrow-batched pass without a shuffle over whole texts.
 
 Defined results: null and empty texts score the bias alone; labels that are null
 or belong to no document count for nothing; without labelled rows all scores are
@@ -30,7 +31,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import cut
+
 SAMPLE = 5000
+#: Labelled rows to a document of the sample, as documents and labels may be repeated.
+MOST = 4
 BUCKETS = 1 << 18
 #: Lengths of the word beginnings that count beside whole words.
 BEGINNINGS = (3, 4, 5, 6, 7)
@@ -88,7 +93,7 @@ def _swaps(text: str, sets: tuple[tuple[str, ...], ...]) -> Iterator[tuple[int,
         tokens = set(sentence.split())
         swapped = {WORD.sub(lambda m: other.get(m[0], m[0]), t) for t in tokens}
         if swapped != tokens:
-            yield len(tokens), _array([token_features(t) for t in swapped - tokens]), _array([token_features(t) for t in tokens - swapped])
+            yield len(tokens), _array([token_features(t) for t in sorted(swapped - tokens)]), _array([token_features(t) for t in sorted(tokens - swapped)])
 
 
 @dataclass
@@ -97,12 +102,10 @@ class Model:
     bias: float
 
 
-def fit(rows: list, counterfactual: float = COUNTERFACTUAL) -> Model:
-    """``rows``: (toxic or None for a swap, number of tokens, features, features taken away)."""
-    docs = [r for r in rows if r[0] is not None]
+def fit(docs: list, swaps: list, counterfactual: float = COUNTERFACTUAL) -> Model:
+    """``docs``: (toxic, number of tokens, features); ``swaps``, distinct: (features, features taken away, sentences, sum of 1 / (1 + tokens))."""
     if not docs:
         return Model(np.zeros(BUCKETS, np.float32), -np.inf)
-    swaps = [r for r in rows if r[0] is None]
 
     def flat(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         own = [np.frombuffer(p, np.int32) for p in parts]
@@ -115,14 +118,15 @@ def fit(rows: list, counterfactual: float = COUNTERFACTUAL) -> Model:
     place = np.cumsum(used, dtype=np.int32) - 1
     n, width = len(docs), int(used.sum())
     at = place[at]
-    more, more_row = flat([bytes(r[2]) for r in swaps])
-    less, less_row = flat([bytes(r[3]) for r in swaps])
+    more, more_row = flat([bytes(r[0]) for r in swaps])
+    less, less_row = flat([bytes(r[1]) for r in swaps])
     c_at, c_row = np.concatenate([more, less]), np.concatenate([more_row, less_row])
     c_sign = np.concatenate([np.ones(len(more)), -np.ones(len(less))])
     keep = used[c_at]
     c_at, c_row, c_sign = place[c_at[keep]], c_row[keep], c_sign[keep]
     damp = SCALE / np.sqrt(1 + np.array([r[1] for r in docs], float))
-    c_damp = SCALE / np.sqrt(1 + np.array([r[1] for r in swaps], float))
+    # the squared damping of all sentences with the same change, over the number of sentences
+    c_share = SCALE**2 * np.array([float(r[3]) for r in swaps]) / max(1, sum(r[2] for r in swaps))
     y = np.array([r[0] for r in docs], float)
     w, b, seen_w, seen_b = np.zeros(width), 0.0, np.full(width, 1e-8), 1e-8
     for _ in range(ROUNDS):
@@ -130,8 +134,8 @@ def fit(rows: list, counterfactual: float = COUNTERFACTUAL) -> Model:
         g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n
         gw = np.bincount(at, weights=(g * damp)[row], minlength=width)
         if len(swaps) and counterfactual:
-            change = np.bincount(c_row, weights=c_sign * w[c_at], minlength=len(swaps)) * c_damp
-            gw += np.bincount(c_at, weights=(2 * counterfactual / len(swaps) * change * c_damp)[c_row] * c_sign, minlength=width)
+            change = np.bincount(c_row, weights=c_sign * w[c_at], minlength=len(swaps))
+            gw += np.bincount(c_at, weights=(2 * counterfactual * change * c_share)[c_row] * c_sign, minlength=width)
         seen_w += gw * gw
         seen_b += g.sum() ** 2
         step = RATE / np.sqrt(seen_w)
@@ -158,16 +162,19 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sets=IDENTIT
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             out = []
-            for text, y in zip(part["text"], part["y"]):
+            for own, text, y in zip(part["id"], part["text"], part["y"]):
                 text = text or ""
                 tokens = set(text.lower().split())
-                out.append((y, len(tokens), _array([token_features(t) for t in sorted(tokens)]), b""))
-                out += [(None, *swap) for swap in _swaps(text, sets)]
-            yield pd.DataFrame(out, columns=["y", "n", "more", "less"]).astype({"y": "Int32", "n": "int32"})
-
-    # a repeated label or document may lengthen the sample, so the bound is set again
-    made = rows.select("text", "y").mapInPandas(run, "y int, n int, more binary, less binary")
-    return fit(made.limit(4 * sample).collect(), counterfactual)
+                out.append((own, y, len(tokens), _array([token_features(t) for t in sorted(tokens)]), b""))
+                out += [(own, None, *swap) for swap in _swaps(text, sets)]
+            yield pd.DataFrame(out, columns=["id", "y", "n", "more", "less"]).astype({"y": "Int32", "n": "int32"})
+
+    made = cut(rows.select(F.col("id").cast("long"), "text", "y").mapInPandas(run, "id long, y int, n int, more binary, less binary"))
+    labelled = made.where("y is not null").orderBy(F.xxhash64("id"), "id", "y", "n", "more").limit(MOST * sample)
+    # as decimals, the sum is the same in any order
+    weight = F.sum((F.lit(1.0) / (1 + F.col("n"))).cast("decimal(20,18)")).alias("weight")
+    swaps = made.where("y is null").groupBy("more", "less").agg(F.count(F.lit(1)).alias("sentences"), weight)
+    return fit(labelled.select("y", "n", "more").collect(), sorted(map(tuple, swaps.collect())), counterfactual)
 
 
 def score(text: Column, model: Model) -> Column:

@@ -65,3 +65,19 @@ def test_odd_rows(spark):
     assert all(0 <= r.score <= 1 for r in toxicity.classify(docs, some).collect())
     assert toxicity.classify(spark.createDataFrame([], DOCS), none).count() == 0
     assert docs.where(toxicity.held_out(F.col("doc_id"))).where("doc_id is null").count() == 0
+
+
+def test_many_swaps_take_no_labelled_row_and_order_does_not_count(spark, monkeypatch):
+    rows = corpus(2)[:60]
+    lines = lambda t: " ".join(f"a {w} said x{k % 7}." for k, w in enumerate(["muslim", "hindu", "jewish"] * 40))
+    given = [(i, f"{t} {lines(t)}" if i % 2 else t, "en", "s", 0) for i, t, _ in rows]
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows], LABELS)
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda docs, swaps, c, own=toxicity.fit: seen.append((docs, swaps)) or own(docs, swaps, c))
+    models = [toxicity.train(spark.createDataFrame(g, DOCS).repartition(n), labels, sample=50) for g, n in ((given, 1), (given[::-1], 7))]
+    assert np.array_equal(models[0].weights, models[1].weights) and models[0].bias == models[1].bias
+    assert seen[0] == seen[1]
+    docs, swaps = seen[0]
+    chosen = sum(zlib.crc32(str(i).encode()) % 5 > 0 for i, _, _ in rows)
+    assert len(docs) == min(50, chosen)
+    assert len(swaps) < 40 and sum(x[2] for x in swaps) > 4 * 50
