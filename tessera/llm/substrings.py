@@ -2,29 +2,35 @@
 
 A window's anchor is the least hash among its ``GRAM``-word grams, leftmost first, so
 equal windows have equal anchors at equal offsets. Consecutive windows of a document
-with one anchor position form a segment (at most 60 words). What happens next depends
-on the windows' content alone, and each step passes on less:
-
-1. Anchors that one segment of the corpus has cannot hold a repeated window; their segments
-   go (a count by anchor, pre-aggregated, then a join).
-2. Segments with equal content are grouped; with two or more occurrences all their
-   windows are repeated, wherever they stand.
-3. The other segments are matched against all distinct segments of their anchor. Only
-   for these is text fetched. Shards are sets of anchors: each builds FM-indexes (suffix
-   array, BWT, wavelet matrix of packed bits with popcount ranks) over blocks of about
-   ``BLOCK`` words and streams the segments through backward search. The search runs
-   for all segments of a block at once; it reports intervals of windows whose match
-   occurs twice, extends them by doubling, and skips what a failed match rules out.
-4. Anchors of over ``HOT`` distinct segments (a passage in very many documents) would
-   make a shard too large; their windows are compared one by one, by 128-bit hashes
-   that are counted with partial aggregation.
-
-Documents are known by doc_id and a hash of the text, so repeated rows repeat each other's
-windows. Texts are shuffled twice by that key: to the segments that need text, and
-to the intervals found. Segment tables are written to the shared folder.
+with one anchor position form a segment (at most 62 words). Shards are sets of anchors:
+
+1. Each document gives one row for each distinct segment, with the list of its starts.
+   Anchors that occur once in the corpus cannot hold a repeated window and go (a count,
+   pre-aggregated, then a join).
+2. Equal segments are counted, and one of each is kept with the place of one occurrence.
+   Only for these is text fetched, one shuffle of the documents.
+3. Each task builds FM-indexes (suffix array, BWT, wavelet matrix of packed bits with
+   popcount ranks) over blocks of about ``BLOCK`` words of its shard and streams the block's
+   segments through backward search. A step prepends one word to all current matches at once;
+   where what is left occurs once only, the match is cut at its right end to its parent
+   interval. The lengths so kept are the matching statistics, and starts where they reach
+   ``WINDOW`` are reported as intervals. A suffix weighs as often as its segment occurs (twice
+   at most), so exact copies need no second copy in the index.
+4. An interval found holds for every occurrence of its segment.
+
+An anchor of over ``HOT`` distinct segments (the edge of a passage in very many documents)
+would make a shard too large. Its windows get anchors of their own, the hash of the
+whole window, and take steps 1 to 4 once more; equal windows still meet, and such a
+shard holds copies of one window.
+
+Rows are known by 128 bits of the hash of doc_id and text. Rows that repeat both share
+them, and have the same windows, each of which repeats those of the others. Texts are shuffled
+by that key: to the segments that need text, and to the intervals found. Segment tables
+are written to the shared folder.
 
 Defined results: null and empty texts, and texts of under 35 words, lose nothing; an
-empty result has the digest of the empty text; other columns are not read.
+empty result has the digest of the empty text; null doc_ids are as good as others; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -35,6 +41,7 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,7 +49,8 @@ from pyspark.sql import functions as F
 from .shared import cut
 
 WINDOW, GRAM = 35, 8
-HOT = 200
+#: Distinct segments of one anchor in a shard.
+HOT = 1000
 #: Words in one FM-index, and in one batch of documents.
 BLOCK, BATCH = 1 << 18, 1 << 18
 
@@ -74,10 +82,10 @@ def _lowest(values: np.ndarray, width: int) -> np.ndarray:
     return place
 
 
-def _batches(part: pd.DataFrame) -> Iterator[tuple[list[int], list[list[bytes]]]]:
+def _batches(texts: list[bytes]) -> Iterator[tuple[list[int], list[list[bytes]]]]:
     rows, words, total = [], [], 0
-    for i, text in enumerate(part["text"]):
-        own = text.encode().split() if text else []
+    for i, text in enumerate(texts):
+        own = text.split()
         if len(own) >= WINDOW:
             rows.append(i)
             words.append(own)
@@ -89,11 +97,11 @@ def _batches(part: pd.DataFrame) -> Iterator[tuple[list[int], list[list[bytes]]]
         yield rows, words
 
 
-def _segments(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(anchor, content, id, tag, start, windows) of the documents' segments."""
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The documents' distinct segments, one row a document."""
     inverse = pow(ODD, -1, 1 << 64)
-    for part in parts:
-        for rows, words in _batches(part):
+    for batch in batches:
+        for rows, words in _batches(batch.column("text").cast(pa.binary()).to_pylist()):
             sizes = np.array([len(w) for w in words])
             n = int(sizes.sum())
             up, down = _powers(ODD, n), _powers(inverse, n)
@@ -108,18 +116,21 @@ def _segments(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             windows = np.diff(np.concatenate([first, [len(starts)]]))
             begin = starts[first]
             content = _mix((sums[begin + windows + WINDOW - 1] - sums[begin]) * down[begin] + windows.astype(U))
-            own = doc[begin]
-            at = np.array(rows)[own]
-            yield pd.DataFrame(
-                {
-                    "anchor": grams[place[first]].view(np.int64),
-                    "content": content.view(np.int64),
-                    "id": part["id"].to_numpy()[at],
-                    "tag": part["tag"].to_numpy()[at],
-                    "start": (begin - (np.cumsum(sizes) - sizes)[own]).astype(np.int32),
-                    "windows": windows.astype(np.int32),
-                }
-            )
+            own, anchor = doc[begin], grams[place[first]]
+            order = np.lexsort((content, anchor, own))  # stable: starts stay in order
+            own, anchor, content, begin, windows = (x[order] for x in (own, anchor, content, begin, windows))
+            new = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1])]))
+            at = (begin - (np.cumsum(sizes) - sizes)[own]).astype(np.int32)
+            fields = {
+                "anchor": pa.array(anchor[new].view(np.int64)),
+                "content": pa.array(content[new].view(np.int64)),
+                "windows": pa.array(windows[new].astype(np.int32)),
+                "starts": pa.ListArray.from_arrays(pa.array(np.append(new, len(own)).astype(np.int32)), pa.array(at)),
+            }
+            ends = np.searchsorted(own[new], np.arange(len(rows) + 1)).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([*fields.values()], [*fields]))
+            keys = [batch.column(x).take(pa.array(rows)) for x in ("h1", "h2")]
+            yield pa.RecordBatch.from_arrays([*keys, lists], ["h1", "h2", "segments"])
 
 
 class WaveletMatrix:
@@ -149,13 +160,14 @@ class WaveletMatrix:
 
 
 class FMIndex:
-    """Counts patterns of up to ``depth`` positive symbols; symbol 0 ends every text."""
+    """Intervals of suffixes that begin with a pattern of up to ``depth`` positive symbols; symbol 0 ends every text."""
 
-    def __init__(self, text: np.ndarray, depth: int = 64):
+    def __init__(self, text: np.ndarray, weight: np.ndarray | None = None, depth: int = 64):
         n = self.size = len(text)
         symbols = int(text.max(initial=0)) + 1
         rank, reach = text.astype(np.int64), 1
         order = np.argsort(rank, kind="stable")
+        ranks = [rank]  # by the first 1, 2, 4, ... symbols
         while reach < depth:
             after = np.concatenate([rank[reach:] + 1, np.zeros(min(reach, n), np.int64)])[:n]
             key = rank * (n + symbols + 2) + after
@@ -163,11 +175,27 @@ class FMIndex:
             sorted_key = key[order]
             rank = np.empty(n, np.int64)
             rank[order] = np.concatenate([[0], np.cumsum(sorted_key[1:] != sorted_key[:-1])])
+            ranks.append(rank)
             reach *= 2
             if rank[order[-1]] == n - 1:
                 break
         self.before = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=symbols))])
         self.bwt = WaveletMatrix(text[order - 1], symbols)
+        #: Weight of the suffixes before each place.
+        self.weight = np.concatenate([[0], np.cumsum(np.ones(n, np.int64) if weight is None else weight[order])])
+        common = np.zeros(n - 1, np.int64)
+        for k in range(len(ranks) - 1, -1, -1):
+            own = np.append(ranks[k], np.full(2 * reach, -1))
+            common += (own[order[:-1] + common] == own[order[1:] + common]) * (1 << k)
+        #: Length of the common beginning of the suffix at a place and the one before.
+        self.common = np.concatenate([[-1], common, [-1]]).astype(np.int16)
+        place = np.arange(n + 1, dtype=np.int32)
+        #: The nearest places on either side with a shorter one.
+        self.left, self.right = np.zeros(n + 1, np.int32), np.full(n + 1, n, np.int32)
+        for length in np.unique(common).tolist():
+            less, at = self.common < length, self.common == length
+            self.left[at] = np.maximum.accumulate(np.where(less, place, 0))[at]
+            self.right[at] = np.minimum.accumulate(np.where(less, place, n)[::-1])[::-1][at]
 
     def extend(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """One step of backward search for many patterns."""
@@ -175,65 +203,68 @@ class FMIndex:
         base = self.before[symbol]
         return base + both[: len(symbol)], base + both[len(symbol) :]
 
+    def parent(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The next larger interval of many patterns that are not empty, and the length of their beginning it stands for."""
+        a, b = self.common[low], self.common[high]
+        return np.where(a >= b, self.left[low], low), np.where(b >= a, self.right[high], high), np.maximum(a, b).astype(np.int64)
+
 
-def repeated_windows(texts: list[np.ndarray], asked: np.ndarray, window: int = WINDOW) -> list[tuple[int, int, int]]:
-    """(text, first, last) intervals of window starts, of the asked texts, whose window occurs twice among all texts.
+def matching_statistics(texts: list[np.ndarray], twice: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Arrays (text, start, length): the longest matches from a start that occur twice among all texts, if ``least`` long.
 
-    ``texts``: arrays of positive symbols.
+    ``texts``: arrays of positive symbols; ``twice``: which of them count twice.
     """
-    sizes = np.array([len(t) for t in texts])
+    sizes = np.array([len(t) for t in texts], np.int64)
     flat = np.zeros(int(sizes.sum()) + len(texts), np.int64)
     offset = np.cumsum(sizes + 1) - sizes - 1
     for t, at in zip(texts, offset.tolist()):
         flat[at : at + len(t)] = t
-    index = FMIndex(flat)
-    q = np.flatnonzero(asked & (sizes >= window))
-    last = sizes[q] - window  # last window start
-    start = np.zeros(len(q), np.int64)
-    gallop = np.ones(len(q), np.int64)
-    end = start + window - 1
-    cursor = end.copy()
+    index = FMIndex(flat, np.repeat(np.where(twice, 2, 1), sizes + 1))
+    q = np.flatnonzero(sizes >= least)
+    # the match is what stands behind ``at``, up to ``end``
+    end, at = sizes[q], sizes[q] - 1
     low, high = np.zeros(len(q), np.int64), np.full(len(q), index.size)
-    found = []
     while len(q):
-        low, high = index.extend(flat[offset[q] + cursor], low, high)
-        twice = high - low >= 2
-        done = twice & (cursor == start)
-        if done.any():
-            found += zip(q[done].tolist(), start[done].tolist(), (end[done] - window + 1).tolist())
-        fail = ~twice
-        # after a hit go on behind it, further at once; after a miss behind what it rules out
-        single = end == start + window - 1
-        start = np.where(done, end - window + 2, np.where(fail & single, cursor + 1, start))
-        gallop = np.where(done, np.minimum(gallop * 4, 64), np.where(fail, 1, gallop))
-        renew = done | fail
-        end = np.where(renew, np.minimum(start + window + gallop - 2, last + window - 1), end)
-        cursor = np.where(renew, end, cursor - 1)
-        low, high = np.where(renew, 0, low), np.where(renew, index.size, high)
-        keep = start <= last
+        more_low, more_high = index.extend(flat[offset[q] + at], low, high)
+        fits = index.weight[more_high] - index.weight[more_low] >= 2
+        less_low, less_high, length = index.parent(low, high)
+        alone = ~fits & (end == at + 1)  # the word itself occurs once
+        low = np.where(fits, more_low, np.where(alone, 0, less_low))
+        high = np.where(fits, more_high, np.where(alone, index.size, less_high))
+        end = np.where(fits, end, np.where(alone, at, at + 1 + length))
+        hit = fits & (end - at >= least)
+        if hit.any():
+            yield q[hit], at[hit], (end - at)[hit]
+        at = at - (fits | alone)
+        keep = (at >= 0) & (end >= least)
         if not keep.all():
-            q, last, start, gallop, end, cursor, low, high = (x[keep] for x in (q, last, start, gallop, end, cursor, low, high))
-    return found
+            q, end, at, low, high = (x[keep] for x in (q, end, at, low, high))
+
+
+def repeated_windows(texts: list[np.ndarray], twice: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first, last) intervals of the starts whose window occurs twice among all texts."""
+    found = [*matching_statistics(texts, twice, window)]
+    if not found:
+        return (np.zeros(0, np.int64),) * 3
+    text, start = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+    order = np.lexsort((start, text))
+    text, start = text[order], start[order]
+    first = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (start[1:] != start[:-1] + 1)]))
+    last = np.append(first[1:], len(text)) - 1
+    return text[first], start[first], start[last]
 
 
 def _match(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Intervals (id, tag, first, last) of the single segments; rows come sorted by anchor."""
+    """Intervals (anchor, content, first, last) of segments; rows come sorted by anchor and content."""
 
     def block(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame[~frame.duplicated(["anchor", "content"])]  # rows that repeat doc_id and text
         words = [t.split(" ") for t in frame["text"]]
         codes, _ = pd.factorize(np.array(list(chain.from_iterable(words)), object))
         texts = np.split(codes + 1, np.cumsum([len(w) for w in words])[:-1])
-        hits = repeated_windows(texts, frame["single"].to_numpy())
-        at = np.array([h[0] for h in hits], np.int64)
-        start = frame["start"].to_numpy()[at]
-        return pd.DataFrame(
-            {
-                "id": frame["id"].to_numpy()[at],
-                "tag": frame["tag"].to_numpy()[at],
-                "first": (start + np.array([h[1] for h in hits], np.int64)).astype(np.int32),
-                "last": (start + np.array([h[2] for h in hits], np.int64)).astype(np.int32),
-            }
-        )
+        text, first, last = repeated_windows(texts, frame["twice"].to_numpy())
+        own = frame[["anchor", "content"]].iloc[text]
+        return own.assign(first=first.astype(np.int32), last=last.astype(np.int32))
 
     rest: pd.DataFrame | None = None
     limit = BLOCK // (WINDOW + 10)  # rows of about BLOCK words
@@ -254,61 +285,103 @@ def _match(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 begin = a
 
 
-def _pieces(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Text of the wanted segments; of hot ones hashes of each window instead."""
-    for part in parts:
-        out = []
-        for id_, tag, text, wanted in zip(part["id"], part["tag"], part["text"], part["wanted"]):
-            words = text.encode().split()
-            for w in wanted:
-                begin, windows = w["start"], w["windows"]
-                if w["hot"]:
-                    for k in range(begin, begin + windows):
-                        raw = b" ".join(words[k : k + WINDOW])
-                        two = xxhash.xxh3_128_intdigest(raw)
-                        out.append((0, id_, tag, k, w["single"], None, (two >> 64) - (1 << 63), (two & (1 << 64) - 1) - (1 << 63)))
-                else:
-                    out.append((w["anchor"], id_, tag, begin, w["single"], b" ".join(words[begin : begin + windows + WINDOW - 1]).decode(), None, None))
-        yield pd.DataFrame(out, columns=["anchor", "id", "tag", "start", "single", "text", "h1", "h2"]).astype({"h1": "Int64", "h2": "Int64"})
+def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], dict[str, np.ndarray]]]:
+    """Of documents with the segments wanted of them: the words, document by document, and the segments' fields."""
+    for batch in batches:
+        column = batch.column("wanted")
+        ends = column.offsets.to_numpy() - column.offsets[0].as_py()
+        inner = column.flatten()
+        fields = {x: inner.field(x).to_numpy(zero_copy_only=False) for x in ("anchor", "content", "start", "windows", "n")}
+        fields |= {x: np.repeat(batch.column(x).to_numpy(), np.diff(ends)) for x in ("h1", "h2")}
+        for i, text in enumerate(batch.column("text").cast(pa.binary()).to_pylist()):
+            own = slice(ends[i], ends[i + 1])
+            yield text.split(), {x: f[own] for x, f in fields.items()}
+
+
+#: Segments in a batch that leaves a task.
+OUT_ROWS = 20_000
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(anchor, content, twice, text) of the wanted segments."""
+
+    def out() -> pa.RecordBatch:
+        keys = [pa.array(np.concatenate(x)) for x in zip(*done)]
+        return pa.RecordBatch.from_arrays([*keys, pa.array(texts, pa.binary()).cast(pa.string())], ["anchor", "content", "twice", "text"])
+
+    done, texts = [], []
+    for words, own in _wanted(batches):
+        done.append((own["anchor"], own["content"], own["n"] > 1))
+        texts += [b" ".join(words[a : a + n + WINDOW - 1]) for a, n in zip(own["start"].tolist(), own["windows"].tolist())]
+        if len(texts) > OUT_ROWS:
+            yield out()
+            done, texts = [], []
+    if done:
+        yield out()
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h1, h2, anchor, content, n, at, start, code) of each window of the wanted segments; ``at`` counts from the segment's start."""
+    for words, own in _wanted(batches):
+        sizes = own["windows"]
+        at = (np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
+        start = np.repeat(own["start"], sizes) + at
+        code = np.fromiter((xxhash.xxh3_64_intdigest(b" ".join(words[a : a + WINDOW])) for a in start.tolist()), U, len(start)).view(np.int64)
+        columns = {x: np.repeat(own[x], sizes) for x in ("h1", "h2", "anchor", "content", "n")} | {"at": at, "start": start, "code": code}
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns.values()], [*columns])
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, id, tag and text: id and tag name a row, and rows that repeat it."""
-    text = docs["text"]
-    return docs.select(
-        docs["doc_id"].alias("doc_id"), F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63))).alias("id"),
-        F.pmod(F.xxhash64(text), F.lit((1 << 31) - 1)).cast("int").alias("tag"), text.alias("text"),
-    )
+    """doc_id, h1, h2 and text: the hashes name a row, and rows that repeat it."""
+    own, text = docs["doc_id"], docs["text"]
+    return docs.select(own.alias("doc_id"), F.xxhash64(own, text).alias("h1"), F.xxhash64(F.lit(1), own, text).alias("h2"), text.alias("text"))
+
+
+def _fetch(keyed: DataFrame, segments: DataFrame) -> DataFrame:
+    """The documents that hold ``segments`` (h1, h2, anchor, content, start, windows, n), with these."""
+    fields = F.struct("anchor", "content", "start", "windows", "n")
+    wanted = cut(segments.groupBy("h1", "h2").agg(F.collect_list(fields).alias("wanted")))
+    return keyed.select("h1", "h2", "text").join(wanted, ["h1", "h2"])
 
 
 def repeated(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """(id, tag, first, last): intervals of starts of repeated windows."""
+    """(h1, h2, first, last): arrays of the intervals of starts of repeated windows."""
     keyed = _keyed(docs)
-    segments = cut(keyed.select("id", "tag", "text").mapInPandas(_segments, "anchor long, content long, id long, tag int, start int, windows int"))
+    long = keyed.where(F.length("text") >= 2 * WINDOW - 1).select("h1", "h2", "text")
+    packed = cut(long.mapInArrow(_segments, "h1 long, h2 long, segments array<struct<anchor:long,content:long,windows:int,starts:array<int>>>"))
+    rows = packed.select("h1", "h2", F.explode("segments").alias("s")).select("h1", "h2", "s.*")
+    n = F.sum(F.size("starts")).alias("n")
     # Written, as Spark splits a skewed join only if each side has a shuffle of its own.
-    shared = cut(segments.groupBy("anchor").count().where("count > 1").select("anchor"))
-    kept = cut(segments.join(shared, "anchor", "left_semi"))
-    place = F.min(F.struct("id", "tag", "start", "windows")).alias("place")
-    distinct = cut(kept.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), place))
-    copies = kept.join(distinct.where("n > 1").select("anchor", "content"), ["anchor", "content"], "left_semi")
-    plain = copies.select("id", "tag", F.col("start").alias("first"), (F.col("start") + F.col("windows") - 1).alias("last"))
-    crowd = cut(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1"))
-    mixed = distinct.join(crowd, "anchor").select("anchor", "place.*", (F.col("n") == 1).alias("single"), (F.col("kinds") > hot).alias("hot"))
-    wanted = mixed.groupBy("id", "tag").agg(F.collect_list(F.struct("anchor", "start", "windows", "single", "hot")).alias("wanted"))
-    fetched = keyed.select("id", "tag", "text").join(wanted, ["id", "tag"])
-    pieces = cut(fetched.mapInPandas(_pieces, "anchor long, id long, tag int, start int, single boolean, text string, h1 long, h2 long"))
-    cold = pieces.where("text is not null").select("anchor", "id", "tag", "start", "single", "text")
-    matched = cold.repartition("anchor").sortWithinPartitions("anchor").mapInPandas(_match, "id long, tag int, first int, last int")
-    windows = pieces.where("text is null").select("h1", "h2", "id", "tag", "start", "single")
-    twice = cut(windows.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2"))
-    single = windows.where("single").join(twice, ["h1", "h2"], "left_semi").select("id", "tag", F.col("start").alias("first"), F.col("start").alias("last"))
-    return plain.unionByName(matched).unionByName(single)
+    shared = cut(rows.groupBy("anchor").agg(n).where("n > 1").select("anchor"))
+    kept = cut(rows.join(shared, "anchor", "left_semi"))
+    # any occurrence will do, and the table is written: it stays the same one
+    place = [F.first("h1").alias("h1"), F.first("h2").alias("h2"), F.first(F.col("starts")[0]).alias("start")]
+    distinct = cut(kept.groupBy("anchor", "content", "windows").agg(n, *place))
+    crowded = cut(distinct.groupBy("anchor").count().where(F.col("count") > hot).select("anchor"))
+    segments, single = distinct, None
+    if not crowded.isEmpty():
+        inside = _fetch(keyed, distinct.join(crowded, "anchor", "left_semi"))
+        single = cut(inside.mapInArrow(_windows, "h1 long, h2 long, anchor long, content long, n long, at int, start int, code long"))
+        own = single.groupBy("code").agg(F.sum("n").alias("n"), F.first("h1").alias("h1"), F.first("h2").alias("h2"), F.first("start").alias("start")).where("n > 1")
+        own = own.select(F.col("code").alias("anchor"), F.col("code").alias("content"), F.lit(1).alias("windows"), "n", "h1", "h2", "start")
+        segments = distinct.join(crowded, "anchor", "left_anti").unionByName(own)
+    pieces = _fetch(keyed, segments).mapInArrow(_pieces, "anchor long, content long, twice boolean, text string")
+    dealt = pieces.repartition("anchor").sortWithinPartitions("anchor", "content")
+    found = cut(dealt.mapInPandas(_match, "anchor long, content long, first int, last int"))
+    if single is not None:
+        codes = found.select(F.col("anchor").alias("code"), F.col("content").alias("same")).where("code = same").distinct()
+        back = single.join(codes, "code", "left_semi").select("anchor", "content", F.col("at").alias("first"), F.col("at").alias("last"))
+        found = found.unionByName(back)
+    parts = cut(found.groupBy("anchor", "content").agg(F.collect_set(F.struct("first", "last")).alias("parts")))
+    each = lambda s: F.transform("parts", lambda p: F.struct((s + p["first"]).alias("first"), (s + p["last"]).alias("last")))
+    gone = kept.join(parts, ["anchor", "content"]).select("h1", "h2", F.flatten(F.transform("starts", each)).alias("gone"))
+    gone = gone.groupBy("h1", "h2").agg(F.flatten(F.collect_set("gone")).alias("gone"))
+    return gone.select("h1", "h2", F.col("gone.first").alias("first"), F.col("gone.last").alias("last"))
 
 
 def _outcome(docs: DataFrame, result: str, make) -> DataFrame:
     """doc_id and ``make(words, kept words)`` of every row."""
-    found = repeated(docs).groupBy("id", "tag").agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("gone"))
-    found = found.select(F.col("id").alias("own_id"), F.col("tag").alias("own_tag"), F.col("gone.first").alias("first"), F.col("gone.last").alias("last"))
+    found = repeated(docs).withColumnsRenamed({"h1": "own_h1", "h2": "own_h2"})
 
     @F.pandas_udf(result)
     def run(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
@@ -326,7 +399,7 @@ def _outcome(docs: DataFrame, result: str, make) -> DataFrame:
             yield pd.DataFrame(out, columns=[x.split()[0] for x in result.split(", ")])
 
     keyed = _keyed(docs)
-    joined = keyed.join(found, (keyed["id"] == found["own_id"]) & (keyed["tag"] == found["own_tag"]), "left")
+    joined = keyed.join(found, (keyed["h1"] == found["own_h1"]) & (keyed["h2"] == found["own_h2"]), "left")
     return joined.select("doc_id", run("text", "first", "last").alias("out")).select("doc_id", "out.*")
 
 

@@ -75,6 +75,44 @@ def test_fm_index_counts(seed=2):
         assert high[0] - low[0] == want
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_matching_statistics_match_plain_search(seed):
+    r = random.Random(seed)
+    texts = [[r.randrange(1, 4) for _ in range(r.randrange(1, 40))] for _ in range(25)]
+    texts += [texts[0][3:], texts[1] + texts[2], [7] * 30]
+    twice = [r.random() < 0.2 for _ in texts]
+
+    def count(p):
+        return sum((1 + two) * sum(t[i : i + len(p)] == p for i in range(len(t) - len(p) + 1)) for t, two in zip(texts, twice))
+
+    for least in (1, 5, 9):
+        want = {}
+        for k, t in enumerate(texts):
+            for i in range(len(t)):
+                n = next((n for n in range(len(t) - i, 0, -1) if count(t[i : i + n]) >= 2), 0)
+                if n >= least:
+                    want[k, i] = n
+        found = {}
+        for text, start, length in substrings.matching_statistics([np.array(t) for t in texts], np.array(twice), least):
+            found |= {(k, i): n for k, i, n in zip(text.tolist(), start.tolist(), length.tolist())}
+        assert found == want
+
+
+def test_rows_without_ids_and_with_one_id_do_not_meet(spark):
+    r = random.Random(7)
+    lines = [" ".join(f"{r.choice('abc')}{r.randrange(900)}" for _ in range(36)) for _ in range(4000)]
+    texts = [r.choice(lines) if r.random() < 0.3 else f"{i} {r.choice(lines)}" for i in range(30_000)]
+    docs = spark.createDataFrame([(None if i % 2 else 5, t, "en", "s", 0) for i, t in enumerate(texts)], DOCS)
+    out = sorted((x.n_words, x.n_removed, x.kept_sha256) for x in substrings.digests(docs).collect())
+    assert out == sorted(expected(texts))
+
+
+def test_all_intervals_come_from_the_index(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(corpus(3, 60))], DOCS)
+    monkeypatch.setattr(substrings, "_match", lambda parts: (p.head(0).assign(first=0, last=0)[["anchor", "content", "first", "last"]] for p in parts))
+    assert substrings.digests(docs).agg({"n_removed": "sum"}).first()[0] == 0
+
+
 def test_repeated_rows_and_odd_tables(spark):
     assert substrings.digests(spark.createDataFrame([], DOCS)).count() == 0
     t = " ".join(f"w{i}" for i in range(40))
