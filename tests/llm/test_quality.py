@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 from test_pii import DOCS
 
 from tessera.llm import quality
@@ -53,3 +54,73 @@ def test_odd_tables(spark):
     rows = [(1, long, None, None, 0), (1, long, None, None, 0), (None, None, None, "s", None)]
     out = quality.judge(spark.createDataFrame(rows, DOCS).withColumnRenamed("n_chars", "key")).collect()
     assert sorted(x.kept for x in out) == [False, True, True]
+
+
+def test_very_long_texts_have_exact_counts(spark):
+    n = 5_000_000
+    docs = spark.range(1).select(spark_words(n, n).alias("text"), *lit_columns())
+    again = spark.range(1).select(spark_words(200_000, 100_000).alias("text"), *lit_columns())
+    out = quality.statistics(docs.unionByName(again)).select("n_words", "n_repeat_words").collect()
+    assert sorted(map(tuple, out)) == [(200_000, 200_000), (n, 0)]
+
+
+def spark_words(n, different):
+    from pyspark.sql import functions as F
+
+    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.concat(F.lit("w"), (i % different).cast("string"))), " ")
+
+
+def lit_columns():
+    from pyspark.sql import functions as F
+
+    return [F.lit(1).cast("long").alias("doc_id"), F.lit("en").alias("lang"), F.lit("s").alias("source")]
+
+
+def test_null_language_and_null_source_are_groups_apart(spark):
+    r = random.Random(8)
+    word = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
+    text = lambda n: " ".join(word(n) for _ in range(80))
+    # short words are ordinary in one group and long ones in the other
+    rows = [(i, text(3), None, "x", 0) for i in range(80)] + [(80 + i, text(24), "x", None, 0) for i in range(60)] + [(140 + i, text(24), None, "x", 0) for i in range(4)]
+    out = {x.doc_id: x.kept for x in quality.judge(spark.createDataFrame(rows, DOCS)).collect()}
+    assert all(out[i] for i in range(140)) and not any(out[140 + i] for i in range(4))
+
+
+def least_determinant(x, starts, seed=1):
+    """Minimum covariance determinant from random starts, with the floors and consistency of the operator."""
+    r, (n, d) = np.random.default_rng(seed), x.shape
+    h, best = int(np.ceil(quality.KEEP * n)), None
+    for _ in range(starts):
+        own, last = x[r.choice(n, d + 1, replace=False)], np.inf
+        while True:
+            mean = own.mean(0)
+            cov = quality.CONSISTENCY * np.cov(own.T, bias=True) + np.diag(np.square(quality.FLOORS))
+            now = np.linalg.slogdet(cov)[1] if len(own) == h else np.inf
+            if now < np.inf and now > last - 1e-9:
+                break
+            last, d2 = now, np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+            own = x[np.argsort(d2)[:h]]
+        if best is None or last < best[0]:
+            best = last, d2
+    return best
+
+
+def test_determinant_is_as_small_as_of_many_random_starts(spark):
+    r = np.random.default_rng(4)
+    groups, rows = {}, []
+    for key in range(1, 5):
+        turn = r.normal(size=(4, 4))
+        x = r.normal(size=(300, 4)) @ turn
+        x[: 15 * key] = r.normal(size=(15 * key, 4)) * 0.2 + 6 * key  # a tight cluster far away, up to a fifth of the rows
+        groups[key] = x
+        rows += [(key, *map(float, v)) for v in x]
+    frame = spark.createDataFrame(rows, "key long, x0 double, x1 double, x2 double, x3 double")
+    params = quality.estimates(frame)
+    own = {p.key: p.log_det for p in params.collect()}
+    far = quality._distance(frame, params).select("key", "x0", "d2").collect()
+    for key, x in groups.items():
+        want, d2 = least_determinant(x, 60)
+        assert own[key] < want + 0.05
+        got = {round(p.x0, 9): p.d2 for p in far if p.key == key}
+        got = np.array([got[round(float(v), 9)] for v in x[:, 0]])
+        assert np.corrcoef(np.log(got), np.log(d2))[0, 1] > 0.99 and got[: 15 * key].min() > 2 * np.median(got)
