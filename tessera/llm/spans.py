@@ -20,30 +20,35 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def matches(text: Column, pattern: str, group: int = 0) -> Column:
-    """Column: array<struct<start:int, value:string, before:string>> of the leftmost non-overlapping matches.
+def matches(text: Column, pattern: str, group: int = 0, context: int = 0) -> Column:
+    """Column: array<struct<start:int, value:string>> of the leftmost non-overlapping matches.
 
-    ``before`` is the text between the previous match and this one. The pattern
-    is one for which Java's matcher has no quadratic retries; it may have groups.
+    With ``context`` also ``left`` and ``right``: so many characters at most before and behind
+    the match. The pattern is one for which Java's matcher has no quadratic retries; it may have groups.
     """
+    kind = "array<struct<start:int,value:string" + ",left:string,right:string" * bool(context) + ">>"
 
     def located(values: Column) -> Column:
         pieces = F.split(text, pattern, -1)
 
         def walk(pieces: Column) -> Column:
-            start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,value:string,before:string>>").alias("out"))
+            tail = [F.lit("").alias("tail")] * bool(context)
+            start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"), *tail)
 
             def step(acc: Column, i: Column) -> Column:
                 own, before = F.get(values, i), F.get(pieces, i)
                 begin = acc["at"] + F.length(before)
-                return F.struct(
-                    (begin + F.length(own)).alias("at"),
-                    F.concat(acc["out"], F.array(F.struct(begin.alias("start"), own.alias("value"), before.alias("before")))).alias("out"),
-                )
+                found, tail = [begin.alias("start"), own.alias("value")], []
+                if context:
+                    left = F.right(F.concat(acc["tail"], before), F.lit(context))
+                    after = F.concat(F.get(pieces, i + 1), F.coalesce(F.get(values, i + 1), F.lit("")))
+                    found += [left.alias("left"), F.left(after, F.lit(context)).alias("right")]
+                    tail = [F.right(F.concat(left, own), F.lit(context)).alias("tail")]
+                return F.struct((begin + F.length(own)).alias("at"), F.concat(acc["out"], F.array(F.struct(*found))).alias("out"), *tail)
 
             return F.aggregate(F.sequence(F.lit(0), F.size(values) - 1), start, step, lambda acc: acc["out"])
 
-        return F.when(F.size(values) == 0, F.array().cast("array<struct<start:int,value:string,before:string>>")).otherwise(let(pieces, walk))
+        return F.when(F.size(values) == 0, F.array().cast(kind)).otherwise(let(pieces, walk))
 
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), located)
 

@@ -69,6 +69,45 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert out[10].spans == out[11].spans == ""
 
 
+def test_words_of_any_length_and_neighbours_are_contexts(spark):
+    long = "ticket" + "x" * 60
+    texts = [f"see {long} 10{i}.20.30.40 now" for i in range(9)] + [f"see {long} 999.20.30.40 now", f"the {long} 888.20.30.40 then"]
+    out = found(spark, texts)
+    assert [out[9].spans, out[10].spans] == ["context:71:83"] * 2
+    pair = [f"contact +1 555 000 10{i}0 +1 555 000 20{i}0 please" for i in range(9)] + ["contact +1 555 000 1990 5550002 please"]
+    rows = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(pair)], DOCS)
+    near = pii.scanned(rows).where("doc_id = 0").selectExpr("inline(near)").collect()
+    assert len(near) == 2 and all(n.seed and len(n.patterns) >= 2 for n in near)
+    pair = [f"contact a{i}@x.com b{i}@x.com please" for i in range(9)] + ["contact c1@local d1@local please"]
+    out = found(spark, pair)
+    assert out[9].spans == "context:8:16,context:17:25"
+
+
+def test_hidden_seeds_come_back(spark):
+    """A fifth of the seeds loses its label; patterns learned from the others find these again."""
+    from pyspark.sql import functions as F
+
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randrange(3, 8)))
+    frames = ["write to {} today", "mail: {}", "call {} now", "reach me under {} or", "server {} answered", "paid with {} on"]
+    made = [
+        lambda: f"{word()}{r.randrange(99)}@{word()}.com", lambda: f"{word()}@{word()}.org", lambda: f"+1 {r.randrange(200, 999)} 555 {r.randrange(1000, 9999)}",
+        lambda: f"+44 {r.randrange(200, 999)} 555 {r.randrange(1000, 9999)}", lambda: ".".join(str(r.randrange(10, 255)) for _ in range(4)), lambda: next(x for x in iter(lambda: str(r.randrange(4 * 10**15, 5 * 10**15)), None) if luhn(x)),
+    ]
+    texts = []
+    for i in range(600):
+        k = i % 6
+        noise = [f"in {r.randrange(1900, 2030)} the", f"order {r.randrange(10**9)} of", f"{word()} {word()}"]
+        texts.append(" ".join([word(), r.choice(noise), frames[k].format(made[k]()), r.choice(noise), word()]))
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], DOCS)
+    rows = pii.scanned(docs).select("doc_id", "hash", "base", F.transform("near", lambda n: n.withField("hidden", n["seed"] & (F.pmod(n["value"], F.lit(5)) == 0))).alias("near"))
+    rows = rows.select("doc_id", "hash", "base", F.transform("near", lambda n: n.withField("seed", n["seed"] & ~n["hidden"])).alias("near")).cache()
+    hidden = {(x.doc_id, x.start, x.end) for x in rows.select("doc_id", F.explode("near").alias("n")).select("doc_id", "n.*").where("hidden").collect()}
+    found = {(x.doc_id, s.start, s.end) for x in pii.discovered(rows, pii.patterns(rows)).collect() for s in x.more}
+    assert len(hidden) > 90 and len(found & hidden) >= 0.9 * len(hidden)
+    assert len(found - hidden) <= 0.02 * len(found)
+
+
 def test_redaction_keeps_columns_and_rows(spark):
     rows = [(1, "é mail a@b.com now", "en", "s", 3), (1, "é mail a@b.com now", "en", "s", 3), (None, None, None, None, None), (2, "", "en", None, 0)]
     docs = spark.createDataFrame(rows, DOCS).withColumnsRenamed({"source": "base"})
