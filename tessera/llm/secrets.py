@@ -1,18 +1,19 @@
 """Secret scans: base patterns, and character Markov models.
 
-Base spans come from three patterns. The method scores every other run of 16 or
-more key characters with at least two of lower case, inner upper case and digits:
-the log-likelihood ratio of two first-order character models, one trained on
-random strings, the other on ordinary identifiers. Runs of ``LOG_ODDS`` and more
-become spans of kind ``random``.
-
-``train`` takes labelled samples (value, random). ``labelled`` derives them from
-the documents: values of base spans are random strings, runs of letters outside
-base spans are identifiers; all distinct values of each label count. They are
-aggregated by character pair, so the model is a table of ``WIDTH`` x ``WIDTH`` whatever
-the data, so it travels in the plan as a literal.
-
-DataFrame functions only; the texts are read once, and spans and runs are written
+Base spans come from three patterns. The method scores every other run of ``SHORTEST`` or
+more key characters by the log-likelihood ratio of two first-order character models, one trained on
+random strings, the other on ordinary identifiers. Runs of ``LOG_ODDS`` and more, the logarithm of the odds
+against a run in ordinary text being random, become spans of kind ``random``; nothing else decides.
+
+``train`` takes labelled samples (value, random). ``samples`` makes them from all
+documents. Random strings are the values of base spans that mix letters and digits, and, for each
+distinct word of the corpus, one of ``random_forms`` of its digest. Ordinary
+identifiers are long runs of letters, and, for each distinct word, the word and one of its ``plain_forms`` (snake, kebab and
+camel case, paths, with dates, counters and numbers); the hash of the word chooses. Samples
+are aggregated by character pair, so the model is a table of ``WIDTH`` x ``WIDTH`` whatever
+the data, and travels in the plan as one literal.
+
+DataFrame functions only; the texts are read once, and spans, runs and words are written
 to the shared folder. Null and empty texts have no spans; with no sample of
 either label the method adds none; repeated rows get the same spans each.
 """
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +33,8 @@ KINDS = ("assign", "access", "hex")
 METHOD = "random"
 LOG_ODDS = 12.0
 SHORTEST = 16
+#: What each pair counts besides its occurrences, and the part of a model that is uniform.
+SMOOTH, EVEN = 0.5, 0.1
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*+[:=]\x20*+["']?([A-Za-z0-9+/_.=-]++)"""
 ACCESS = r"AKIA[A-Z0-9]++"
@@ -64,11 +68,6 @@ def runs(text: Column) -> Column:
     return F.transform(S.matches(text, RUN), located)
 
 
-def mixed(value: Column) -> Column:
-    """Column: does a run have two kinds of characters, as a capital at its start does not show?"""
-    return (value.rlike("[a-z]").cast("int") + value.rlike("(?<=.)[A-Z]").cast("int") + value.rlike("[0-9]").cast("int")) >= 2
-
-
 def _codes(value: Column) -> Column:
     """Column: places of the characters in the alphabet."""
     chars = F.filter(F.split(value, ""), lambda c: c != "")
@@ -76,7 +75,7 @@ def _codes(value: Column) -> Column:
     return F.transform(chars, lambda c: F.when(place(c) < 0, WIDTH - 1).otherwise(place(c)))
 
 
-def train(samples: DataFrame, smooth: float = 0.5) -> list[float] | None:
+def train(samples: DataFrame, smooth: float = SMOOTH) -> list[float] | None:
     """Log-likelihood ratios of the WIDTH x WIDTH character pairs, from (value string, random boolean)."""
 
     def pairs(codes: Column) -> Column:
@@ -90,16 +89,19 @@ def train(samples: DataFrame, smooth: float = 0.5) -> list[float] | None:
     if not any(seen[True]) or not any(seen[False]):
         return None
 
+    totals = {label: [sum(counts[row : row + WIDTH]) for row in range(0, WIDTH * WIDTH, WIDTH)] for label, counts in seen.items()}
+
     def likelihood(label: bool, pair: int) -> float:
         row = pair // WIDTH * WIDTH
-        return math.log((seen[label][pair] + smooth) / (sum(seen[label][row : row + WIDTH]) + smooth * WIDTH))
+        own = (seen[label][pair] + smooth) / (totals[label][row // WIDTH] + smooth * WIDTH)
+        return math.log((1 - EVEN) * own + EVEN / WIDTH)
 
     return [likelihood(True, p) - likelihood(False, p) for p in range(WIDTH * WIDTH)]
 
 
 def ratio(value: Column, model: list[float]) -> Column:
     """Column: log-likelihood ratio of a value."""
-    table = F.array(*[F.lit(float(x)) for x in model])
+    table = F.lit(np.array(model, float))
 
     def total(codes: Column) -> Column:
         step = lambda acc, i: acc + F.get(table, F.get(codes, i) * WIDTH + F.get(codes, i + 1))
@@ -108,29 +110,78 @@ def ratio(value: Column, model: list[float]) -> Column:
     return S.let(_codes(value), total)
 
 
+def vocabulary(text: Column) -> Column:
+    """Column: the distinct runs of three and more ASCII letters of a text, lower case."""
+    return F.filter(F.array_distinct(F.split(F.lower(text), "[^a-z]+")), lambda w: F.length(w) >= 3)
+
+
 def scanned(docs: DataFrame) -> DataFrame:
-    """(doc_id, base, values, runs): base spans and their values, and the runs outside them."""
+    """(doc_id, base, values, runs, words): base spans and their values, and the runs and words outside them."""
     text = F.coalesce(docs["text"], F.lit(""))
     found = docs.select(docs["doc_id"].alias("doc_id"), text.alias("text")).select("*", base_spans(F.col("text")).alias("base"), runs(F.col("text")).alias("runs"))
     value = lambda s: F.regexp_extract(F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"]), r"[A-Za-z0-9+/_.=-]+$", 0)
     outside = F.filter("runs", lambda r: ~S.overlaps(r["start"], r["end"], F.col("base")))
-    return found.select("doc_id", "base", F.transform("base", value).alias("values"), outside.alias("runs"))
+    plain = F.regexp_replace(F.col("text"), r"(?<!\S)[^\s0-9]*+[0-9]\S*+", " ")  # letters of tokens with digits may be random
+    return found.select("doc_id", "base", F.transform("base", value).alias("values"), outside.alias("runs"), vocabulary(plain).alias("words"))
+
+
+def _digest(word: Column, n: int = 0) -> Column:
+    return F.sha2(F.concat(word, F.lit(str(n))), 256)
+
+
+def _base64(word: Column, n: int = 0) -> Column:
+    return F.base64(F.unhex(_digest(word, n)))
+
+
+def random_forms(word: Column) -> list[Column]:
+    """Columns: random strings that a word's digests make, of several alphabets."""
+    whole = F.concat(_base64(word), _base64(word, 1))
+    kept = lambda x, drop: F.substring(F.regexp_replace(x, drop, ""), 1, 32)
+    return [
+        F.substring(_digest(word), 1, 40), _base64(word), kept(whole, "[^A-Za-z0-9]"), kept(F.lower(whole), "[^a-z]"), kept(F.lower(whole), "[^a-z0-9]"),
+        kept(F.upper(whole), "[^A-Z0-9]"), F.translate(kept(whole, "="), "+/", "-_"), kept(whole, "[^A-Za-z]"),
+    ]
+
+
+def plain_forms(word: Column) -> list[Column]:
+    """Columns: identifiers as people and programs write them, around a word."""
+    number = lambda n, low, span: (F.pmod(F.xxhash64(word, F.lit(n)), F.lit(span)) + low).cast("string")
+    two = lambda n, span: F.lpad(number(n, 1, span), 2, "0")
+    year, month, day = number(1, 1980, 60), two(2, 12), two(3, 28)
+    capital, upper = F.initcap(word), F.upper(word)
+    join = lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y for y in x])
+    return [
+        join(word, "_", word, "_", word), join(word, "-", word, "-", word), join(word, capital, capital), join(capital, capital), join(upper, "_", upper), join(word, "/", word, "/", capital),
+        join(word, "_", year, "-", month, "-", day), join(upper, "_", year, month, day, "_", two(4, 23), two(5, 59), two(6, 59)), join(word, "-", word, "-", number(7, 0, 10**10)),
+        join(word, "_", F.lpad(number(8, 0, 1000), 5, "0")), join(word, number(9, 1, 40), "_", word, "-", number(10, 1, 10)), join(year, "-", month, "-", day, "-", word, "-", word),
+        join(word, "=", number(11, 0, 10**6)), join(word, "=", word), join(number(12, 0, 10**9), "-", number(13, 0, 10**6), "-", number(14, 0, 10**4)), join("----", word, "----", "====", word, "____"),
+    ]
 
 
 def labelled(rows: DataFrame) -> DataFrame:
-    """(value, random): the distinct values of each label."""
+    """(value, random): the distinct values of base spans, and the distinct runs of letters outside them."""
     secret = rows.select(F.explode("values").alias("value"), F.lit(True).alias("random"))
     letters = rows.select(F.explode("runs.value").alias("value"), F.lit(False).alias("random")).where(F.col("value").rlike("^[A-Za-z]+$"))
     return secret.distinct().unionByName(letters.distinct())
 
 
+def samples(rows: DataFrame) -> DataFrame:
+    """(value, random): the labelled values, but no random ones without letter or digit, and what the words make."""
+    found = labelled(rows).where(~F.col("random") | (F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]")))
+    words = cut(rows.select(F.explode("words").alias("word")).distinct())
+    chosen = lambda forms: F.element_at(F.array(*forms), (F.pmod(F.xxhash64("word"), F.lit(len(forms))) + 1).cast("int"))
+    word = F.col("word")
+    made = words.select(F.explode(F.array(*[F.struct(v.alias("value"), F.lit(r).alias("random")) for v, r in ((chosen(random_forms(word)), True), (chosen(plain_forms(word)), False), (word, False))])).alias("s"))
+    return found.unionByName(made.select("s.*"))
+
+
 def find(docs: DataFrame) -> DataFrame:
     """doc_id, base counts and digest, and all spans as text, of every row."""
     rows = cut(scanned(docs))
-    model = train(labelled(rows))
+    model = train(samples(rows))
     more = S.none()
     if model is not None:
-        likely = F.filter("runs", lambda r: mixed(r["value"]) & (ratio(r["value"], model) >= LOG_ODDS))
+        likely = F.filter("runs", lambda r: ratio(r["value"], model) >= LOG_ODDS)
         more = F.transform(likely, lambda r: F.struct(r["start"].alias("start"), F.lit(len(KINDS)).alias("rank"), r["end"].alias("end"), F.lit(METHOD).alias("kind")))
     return rows.select(
         "doc_id",

@@ -3,7 +3,9 @@
 import hashlib
 import random
 import re
+import string
 
+from pyspark.sql import functions as F
 from test_pii import DOCS, soup
 
 from tessera.llm import secrets
@@ -61,3 +63,45 @@ def test_all_distinct_values_are_counted(spark):
     rows = spark.range(30_000, numPartitions=8).selectExpr("array(lower(lpad(hex(id % 25000), 32, '0'))) values", "array(struct(translate(lpad(lower(hex(id)), 20, '0'), '0123456789abcdef', 'abcdefghijklmnop') value)) runs")
     found = {r.random: r["count"] for r in secrets.labelled(rows).groupBy("random").count().collect()}
     assert found == {True: 25_000, False: 30_000}
+
+
+def language():
+    r = random.Random(6)
+    syllables = ["ba", "cor", "din", "el", "fas", "gri", "ho", "in", "ket", "lu", "men", "no", "par", "qui", "res", "sta", "ti", "ur", "ven", "wi", "xo", "yel", "zan", "the", "ing", "tion", "er", "ly"]
+    invented = lambda: "".join(r.choice(syllables) for _ in range(r.randrange(2, 5)))
+    corpus = [" ".join(invented() for _ in range(60)) for _ in range(300)]
+    return invented, corpus, r
+
+
+def test_precision_and_recall_by_sort_on_held_out_strings(spark):
+    """Learned from a corpus, judged on identifiers of other words and on random strings of many alphabets."""
+    invented, corpus, r = language()
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(corpus)], DOCS)
+    model = secrets.train(secrets.samples(secrets.scanned(docs)))
+    all_ = string.ascii_letters + string.digits
+    drawn = lambda alphabet, n: "".join(r.choice(alphabet) for _ in range(n))
+    w = invented  # mostly words that the corpus does not have
+    date = lambda sep: f"{r.randrange(1990, 2030)}{sep}{r.randrange(1, 13):02d}{sep}{r.randrange(1, 29):02d}"
+    hidden = {
+        "base62": lambda: drawn(all_, 32), "lower": lambda: drawn(string.ascii_lowercase, 32), "base36": lambda: drawn(string.ascii_lowercase + string.digits, 24),
+        "upper": lambda: drawn(string.ascii_uppercase + string.digits, 24), "base64": lambda: drawn(all_ + "+/", 40), "url": lambda: drawn(all_ + "-_", 43),
+    }
+    plain = {
+        "snake": lambda: "_".join(w() for _ in range(4)), "kebab": lambda: "-".join(w() for _ in range(4)), "camel": lambda: w() + "".join(w().capitalize() for _ in range(3)),
+        "image": lambda: f"IMG_{date('')}_{r.randrange(240000):06d}", "order": lambda: f"{w()}-{w()}-{r.randrange(10**10)}", "constant": lambda: "_".join(w().upper() for _ in range(4)),
+        "path": lambda: "/".join(w() for _ in range(5)), "dated": lambda: f"{w()}_{w()}_{date('-')}", "digits": lambda: drawn(string.digits, 18), "rule": lambda: "-" * r.randrange(16, 99),
+    }
+    rows = [(kind, sort, v) for kind, sorts in (("hidden", hidden), ("plain", plain)) for sort, f in sorts.items() for v in (f() for _ in range(200)) if len(v) >= secrets.SHORTEST]
+    frame = spark.createDataFrame(rows, "kind string, sort string, v string")
+    flagged = {}
+    for x in frame.withColumn("hit", secrets.ratio(F.col("v"), model) >= secrets.LOG_ODDS).groupBy("kind", "sort").agg(F.avg(F.col("hit").cast("int")).alias("share")).collect():
+        flagged[x.kind, x.sort] = x.share
+    assert all(share >= 0.9 for (kind, _), share in flagged.items() if kind == "hidden"), flagged
+    assert all(share <= 0.01 for (kind, _), share in flagged.items() if kind == "plain"), flagged
+
+
+def test_lower_case_runs_are_judged_by_the_ratio_alone(spark):
+    _, texts, r = language()
+    token = "".join(r.choice(string.ascii_lowercase) for _ in range(40))
+    out = rows_of(spark, [*texts, f"see {token} there", "see order-number-1234567890 and IMG_20240101_123456 there", "z" * 50_000])
+    assert [out[300 + i].spans for i in range(3)] == ["random:4:44", "", ""]
