@@ -81,3 +81,34 @@ def test_many_swaps_take_no_labelled_row_and_order_does_not_count(spark, monkeyp
     chosen = sum(zlib.crc32(str(i).encode()) % 5 > 0 for i, _, _ in rows)
     assert len(docs) == min(50, chosen)
     assert len(swaps) < 40 and sum(x[2] for x in swaps) > 4 * 50
+
+
+def test_neutral_mentions_score_alike_on_the_query_path(spark, monkeypatch):
+    rows = corpus(4)
+    neutral = [(f"we met a {who} near the {place} today.", who) for who in ("muslim", "christian", "jewish", "hindu") for place in ("lake", "hill", "road", "bridge")]
+    given = [(i, t, "en", "s", 0) for i, t, _ in rows] + [(10_000 + i, t, "en", "s", 0) for i, (t, _) in enumerate(neutral)]
+    docs = spark.createDataFrame(given, DOCS)
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows], LABELS)
+
+    def gap():
+        scores = {r.doc_id: r.score for r in toxicity.classify(docs, labels).where("doc_id >= 10000").collect()}
+        of = {who: np.mean([scores[10_000 + i] for i, (_, w) in enumerate(neutral) if w == who]) for who in ("muslim", "christian", "jewish", "hindu")}
+        return max(of.values()) - min(of.values()), of["muslim"]
+
+    fair, own = gap()
+    monkeypatch.setattr(toxicity, "train", lambda d, y, train=toxicity.train: train(d, y, counterfactual=0.0))
+    plain, before = gap()
+    assert fair < 0.35 * plain and own < before and own < 0.5
+
+
+def test_bytes_that_reach_the_driver_are_bounded(spark, monkeypatch):
+    r = random.Random(5)
+    texts = [" ".join(f"w{r.randrange(10_000)}" for _ in range(400)) + ". a muslim here." * 3 for _ in range(200)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], DOCS)
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(200)], LABELS)
+    seen = []
+    monkeypatch.setattr(toxicity, "BYTES", 100_000)
+    monkeypatch.setattr(toxicity, "fit", lambda docs, swaps, c, own=toxicity.fit: seen.append((docs, swaps)) or own(docs, swaps, c))
+    toxicity.train(docs, labels)
+    toxicity.train(docs.repartition(13), labels)
+    assert seen[0] == seen[1] and 50_000 < sum(len(x.more) for x in seen[0][0]) <= 100_000
