@@ -48,7 +48,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return links.verdicts(table(spark, sf_dir, "pages"))
+    return links.verdicts(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
 ALL = (op1_substrings, op2_pii, op3_byte_bpe, op4_quality, op5_decontaminate, op6_sharding, op7_secrets, op8_simhash, op9_toxicity, op10_links)
