@@ -20,8 +20,8 @@ with one anchor position form a segment (at most 62 words). Shards are sets of a
 
 An anchor of over ``HOT`` distinct segments (the edge of a passage in very many documents)
 would make a shard too large. Its windows get anchors of their own, the hash of the
-whole window, and take steps 1 to 4 once more; equal windows still meet, and such a
-shard holds copies of one window.
+whole window, are counted like segments, and those that occur twice go to shards of
+these anchors; equal windows still meet, however many there are.
 
 Rows are known by 128 bits of the hash of doc_id and text. Rows that repeat both share
 them, and have the same windows, each of which repeats those of the others. Texts are shuffled
@@ -285,65 +285,41 @@ def _match(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 begin = a
 
 
-def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], dict[str, np.ndarray]]]:
-    """Of documents with the segments wanted of them: the words, document by document, and the segments' fields."""
-    for batch in batches:
-        column = batch.column("wanted")
-        ends = column.offsets.to_numpy() - column.offsets[0].as_py()
-        inner = column.flatten()
-        fields = {x: inner.field(x).to_numpy(zero_copy_only=False) for x in ("anchor", "content", "start", "windows", "n")}
-        fields |= {x: np.repeat(batch.column(x).to_numpy(), np.diff(ends)) for x in ("h1", "h2")}
-        for i, text in enumerate(batch.column("text").cast(pa.binary()).to_pylist()):
-            own = slice(ends[i], ends[i + 1])
-            yield text.split(), {x: f[own] for x, f in fields.items()}
-
-
 #: Segments in a batch that leaves a task.
 OUT_ROWS = 20_000
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(anchor, content, twice, text) of the wanted segments."""
+    """(anchor, content, n, text) of the segments wanted of documents."""
 
     def out() -> pa.RecordBatch:
         keys = [pa.array(np.concatenate(x)) for x in zip(*done)]
-        return pa.RecordBatch.from_arrays([*keys, pa.array(texts, pa.binary()).cast(pa.string())], ["anchor", "content", "twice", "text"])
+        return pa.RecordBatch.from_arrays([*keys, pa.array(texts, pa.binary()).cast(pa.string())], ["anchor", "content", "n", "text"])
 
     done, texts = [], []
-    for words, own in _wanted(batches):
-        done.append((own["anchor"], own["content"], own["n"] > 1))
-        texts += [b" ".join(words[a : a + n + WINDOW - 1]) for a, n in zip(own["start"].tolist(), own["windows"].tolist())]
-        if len(texts) > OUT_ROWS:
-            yield out()
-            done, texts = [], []
+    for batch in batches:
+        column = batch.column("wanted")
+        ends = column.offsets.to_numpy() - column.offsets[0].as_py()
+        wanted = column.flatten()
+        keys = [wanted.field(x).to_numpy() for x in ("anchor", "content", "n")]
+        start, windows = (wanted.field(x).to_numpy() for x in ("start", "windows"))
+        for i, text in enumerate(batch.column("text").cast(pa.binary()).to_pylist()):
+            words, own = text.split(), slice(ends[i], ends[i + 1])
+            done.append([x[own] for x in keys])
+            texts += [b" ".join(words[a : a + n + WINDOW - 1]) for a, n in zip(start[own].tolist(), windows[own].tolist())]
+            if len(texts) > OUT_ROWS:
+                yield out()
+                done, texts = [], []
     if done:
         yield out()
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h1, h2, anchor, content, n, at, start, code) of each window of the wanted segments; ``at`` counts from the segment's start."""
-    for words, own in _wanted(batches):
-        sizes = own["windows"]
-        at = (np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
-        start = np.repeat(own["start"], sizes) + at
-        code = np.fromiter((xxhash.xxh3_64_intdigest(b" ".join(words[a : a + WINDOW])) for a in start.tolist()), U, len(start)).view(np.int64)
-        columns = {x: np.repeat(own[x], sizes) for x in ("h1", "h2", "anchor", "content", "n")} | {"at": at, "start": start, "code": code}
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns.values()], [*columns])
-
-
 def _keyed(docs: DataFrame) -> DataFrame:
     """doc_id, h1, h2 and text: the hashes name a row, and rows that repeat it."""
     own, text = docs["doc_id"], docs["text"]
     return docs.select(own.alias("doc_id"), F.xxhash64(own, text).alias("h1"), F.xxhash64(F.lit(1), own, text).alias("h2"), text.alias("text"))
 
 
-def _fetch(keyed: DataFrame, segments: DataFrame) -> DataFrame:
-    """The documents that hold ``segments`` (h1, h2, anchor, content, start, windows, n), with these."""
-    fields = F.struct("anchor", "content", "start", "windows", "n")
-    wanted = cut(segments.groupBy("h1", "h2").agg(F.collect_list(fields).alias("wanted")))
-    return keyed.select("h1", "h2", "text").join(wanted, ["h1", "h2"])
-
-
 def repeated(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """(h1, h2, first, last): arrays of the intervals of starts of repeated windows."""
     keyed = _keyed(docs)
@@ -358,20 +334,19 @@ def repeated(docs: DataFrame, hot: int = HOT) -> DataFrame:
     place = [F.first("h1").alias("h1"), F.first("h2").alias("h2"), F.first(F.col("starts")[0]).alias("start")]
     distinct = cut(kept.groupBy("anchor", "content", "windows").agg(n, *place))
     crowded = cut(distinct.groupBy("anchor").count().where(F.col("count") > hot).select("anchor"))
-    segments, single = distinct, None
-    if not crowded.isEmpty():
-        inside = _fetch(keyed, distinct.join(crowded, "anchor", "left_semi"))
-        single = cut(inside.mapInArrow(_windows, "h1 long, h2 long, anchor long, content long, n long, at int, start int, code long"))
-        own = single.groupBy("code").agg(F.sum("n").alias("n"), F.first("h1").alias("h1"), F.first("h2").alias("h2"), F.first("start").alias("start")).where("n > 1")
-        own = own.select(F.col("code").alias("anchor"), F.col("code").alias("content"), F.lit(1).alias("windows"), "n", "h1", "h2", "start")
-        segments = distinct.join(crowded, "anchor", "left_anti").unionByName(own)
-    pieces = _fetch(keyed, segments).mapInArrow(_pieces, "anchor long, content long, twice boolean, text string")
-    dealt = pieces.repartition("anchor").sortWithinPartitions("anchor", "content")
-    found = cut(dealt.mapInPandas(_match, "anchor long, content long, first int, last int"))
-    if single is not None:
-        codes = found.select(F.col("anchor").alias("code"), F.col("content").alias("same")).where("code = same").distinct()
-        back = single.join(codes, "code", "left_semi").select("anchor", "content", F.col("at").alias("first"), F.col("at").alias("last"))
-        found = found.unionByName(back)
+    fields = F.struct("anchor", "content", "start", "windows", "n")
+    wanted = cut(distinct.groupBy("h1", "h2").agg(F.collect_list(fields).alias("wanted")))
+    pieces = cut(long.join(wanted, ["h1", "h2"]).select("text", "wanted").mapInArrow(_pieces, "anchor long, content long, n long, text string"))
+    crowd = cut(pieces.join(crowded, "anchor", "left_semi").select("anchor", "content", "n", F.split("text", " ").alias("words")).distinct())
+    window = lambda at: F.slice("words", at + 1, WINDOW)
+    codes = F.transform(F.sequence(F.lit(0), F.size("words") - WINDOW), lambda at: F.xxhash64(window(at)))
+    single = cut(crowd.select("anchor", "content", "n", F.posexplode(codes).alias("at", "code")))
+    again = single.groupBy("code").agg(F.sum("n").alias("n"), *[F.first(x).alias(x) for x in ("anchor", "content", "at")]).where("n > 1")
+    alone = crowd.drop("n").join(cut(again), ["anchor", "content"]).select(F.col("code").alias("anchor"), F.col("code").alias("content"), "n", F.array_join(window(F.col("at")), " ").alias("text"))
+    dealt = pieces.join(crowded, "anchor", "left_anti").unionByName(alone).select("anchor", "content", (F.col("n") > 1).alias("twice"), "text")
+    found = cut(dealt.repartition("anchor").sortWithinPartitions("anchor", "content").mapInPandas(_match, "anchor long, content long, first int, last int"))
+    own = found.where("anchor = content").select(F.col("anchor").alias("code")).distinct()
+    found = found.unionByName(single.join(own, "code", "left_semi").select("anchor", "content", F.col("at").alias("first"), F.col("at").alias("last")))
     parts = cut(found.groupBy("anchor", "content").agg(F.collect_set(F.struct("first", "last")).alias("parts")))
     each = lambda s: F.transform("parts", lambda p: F.struct((s + p["first"]).alias("first"), (s + p["last"]).alias("last")))
     gone = kept.join(parts, ["anchor", "content"]).select("h1", "h2", F.flatten(F.transform("starts", each)).alias("gone"))
