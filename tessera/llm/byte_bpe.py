@@ -111,6 +111,13 @@ class PerfectHash:
         return np.where(d < 0, -1 - d, self._slot(hashes, np.maximum(d, 0).astype(np.uint64)))
 
 
+def known_pattern() -> str | None:
+    try:
+        return default_vocabulary()[1]
+    except ModuleNotFoundError:  # another vocabulary on a machine without that package
+        return None
+
+
 class Codec:
     """Encodes and decodes with one rank file."""
 
@@ -125,6 +132,8 @@ class Codec:
         self.rank_of_two = [self.ranks.get(bytes((a, b)), -1) for a in range(256) for b in range(256)]
         self.decimal = {rank: str(rank) for rank in self.ids}
         self.pattern = regex.compile(pattern)
+        #: Only of this pattern it is known that single spaces begin pre-tokens.
+        self.cuts_at_spaces = pattern == known_pattern()
         self.known: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
 
@@ -169,7 +178,7 @@ class Codec:
     def learn(self, pieces: list[str]) -> None:
         """Encode pieces of text that begin and end where pre-tokens do."""
         # letters after a space are one pre-token
-        split = [[p] if p[0] == " " and p[1:].isalpha() else self.pattern.findall(p) for p in pieces]
+        split = [[p] if not self.cuts_at_spaces or p[0] == " " and p[1:].isalpha() else self.pattern.findall(p) for p in pieces]
         known, older = self.known, self.older
         words = [w for w in dict.fromkeys(chain.from_iterable(split)) if w not in known]
         fresh = [w for w in words if w not in older]
@@ -183,6 +192,9 @@ class Codec:
         """The ids of each text; words new to the cache are encoded together."""
         cut = []
         for text in texts:
+            if not self.cuts_at_spaces:
+                cut.append([m[0] for m in self.pattern.finditer(text)])
+                continue
             pieces, done = [], 0
             for start, end in long_runs(text):
                 pieces += _words(text[done:start])

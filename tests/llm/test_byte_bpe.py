@@ -67,3 +67,11 @@ def test_encode_and_decode_columns(spark):
     docs = spark.createDataFrame([("hé llo",), (None,)], "text string")
     out = docs.select("text", byte_bpe.encode(F.col("text"), *own).alias("ids")).select("text", byte_bpe.decode(F.col("ids"), *own).alias("back")).collect()
     assert [(r.text or "").encode() for r in out] == [bytes(r.back) for r in out]
+
+
+def test_other_patterns_are_not_cut_at_spaces(codec):
+    for pattern in (r"\S+|\s+", r"\p{L}+|[^\p{L}]+", r"(?:a|b)+|[^ab]"):
+        own = byte_bpe.codec(byte_bpe.default_vocabulary()[0], pattern)
+        other = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=codec.ranks, special_tokens={})
+        for t in ["hello world again", "a  b\n c", "abba cab 12  3", " x"]:
+            assert own.encode(t) == other.encode_ordinary(t)
