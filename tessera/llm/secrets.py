@@ -78,14 +78,13 @@ def _codes(value: Column) -> Column:
 def train(samples: DataFrame, smooth: float = SMOOTH) -> list[float] | None:
     """Log-likelihood ratios of the WIDTH x WIDTH character pairs, from (value string, random boolean)."""
 
-    def pairs(codes: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.size(codes) - 2), lambda i: F.get(codes, i) * WIDTH + F.get(codes, i + 1))
-
-    long = samples.where(F.length("value") >= 2)
-    counts = long.select("random", F.explode(S.let(_codes(F.col("value")), pairs)).alias("pair")).groupBy("random", "pair").count()
+    pairs = F.regexp_extract_all("value", F.lit("(?s)(?=(..))"), F.lit(1))
+    counts = samples.select("random", F.explode(pairs).alias("pair")).groupBy("random", "pair").count()
+    place = {c: i for i, c in enumerate(ALPHABET)}
     seen = {True: [0] * WIDTH * WIDTH, False: [0] * WIDTH * WIDTH}
-    for random, pair, n in counts.collect():  # at most 2 x WIDTH x WIDTH rows
-        seen[random][pair] = n
+    for random, pair, n in counts.collect():  # values are of a bounded alphabet
+        a, b = (place.get(c, WIDTH - 1) for c in pair)
+        seen[random][a * WIDTH + b] += n
     if not any(seen[True]) or not any(seen[False]):
         return None
 
@@ -111,8 +110,8 @@ def ratio(value: Column, model: list[float]) -> Column:
 
 
 def vocabulary(text: Column) -> Column:
-    """Column: the distinct runs of three and more ASCII letters of a text, lower case."""
-    return F.filter(F.array_distinct(F.split(F.lower(text), "[^a-z]+")), lambda w: F.length(w) >= 3)
+    """Column: the distinct runs of three and more ASCII letters of a text, lower case, but none beside a digit, as these may be random."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"(?<![a-z0-9])[a-z]{3,}+(?![0-9])"), F.lit(0)))
 
 
 def scanned(docs: DataFrame) -> DataFrame:
@@ -121,8 +120,7 @@ def scanned(docs: DataFrame) -> DataFrame:
     found = docs.select(docs["doc_id"].alias("doc_id"), text.alias("text")).select("*", base_spans(F.col("text")).alias("base"), runs(F.col("text")).alias("runs"))
     value = lambda s: F.regexp_extract(F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"]), r"[A-Za-z0-9+/_.=-]+$", 0)
     outside = F.filter("runs", lambda r: ~S.overlaps(r["start"], r["end"], F.col("base")))
-    plain = F.regexp_replace(F.col("text"), r"(?<!\S)[^\s0-9]*+[0-9]\S*+", " ")  # letters of tokens with digits may be random
-    return found.select("doc_id", "base", F.transform("base", value).alias("values"), outside.alias("runs"), vocabulary(plain).alias("words"))
+    return found.select("doc_id", "base", F.transform("base", value).alias("values"), outside.alias("runs"), vocabulary(F.col("text")).alias("words"))
 
 
 def _digest(word: Column, n: int = 0) -> Column:
@@ -169,7 +167,13 @@ def samples(rows: DataFrame) -> DataFrame:
     """(value, random): the labelled values, but no random ones without letter or digit, and what the words make."""
     found = labelled(rows).where(~F.col("random") | (F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]")))
     words = cut(rows.select(F.explode("words").alias("word")).distinct())
-    chosen = lambda forms: F.element_at(F.array(*forms), (F.pmod(F.xxhash64("word"), F.lit(len(forms))) + 1).cast("int"))
+
+    def chosen(forms: list[Column]) -> Column:
+        out = forms[0]  # cases, as only the chosen one is computed
+        for i, form in enumerate(forms[1:], 1):
+            out = F.when(F.pmod(F.xxhash64("word"), F.lit(len(forms))) == i, form).otherwise(out)
+        return out
+
     word = F.col("word")
     made = words.select(F.explode(F.array(*[F.struct(v.alias("value"), F.lit(r).alias("random")) for v, r in ((chosen(random_forms(word)), True), (chosen(plain_forms(word)), False), (word, False))])).alias("s"))
     return found.unionByName(made.select("s.*"))
